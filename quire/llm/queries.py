@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage
+from . import leakage, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +26,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leakage_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+@query
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
