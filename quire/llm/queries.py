@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, spans
+from . import leakage, skeleton, spans, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,37 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized_jobs(table(spark, d, "job_inputs"), table(spark, d, "economy_profiles"))
+
+
+SQL["p4_found"] = """
+SELECT DISTINCT j.job.job_id AS job_id,
+  CASE WHEN length(j.payload.source_text) > p.chunk_max_chars AND len(j.payload.block_ids) > p.chunk_max_blocks THEN 'both'
+       WHEN length(j.payload.source_text) > p.chunk_max_chars THEN 'chars' ELSE 'blocks' END AS reason
+FROM job_inputs j JOIN economy_profiles p ON j.profile_name = p.name
+WHERE length(j.payload.source_text) > p.chunk_max_chars OR len(j.payload.block_ids) > p.chunk_max_blocks
+"""
+
+
+@query
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_jobs(table(spark, d, "job_inputs"), table(spark, d, "economy_profiles"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.lookalike_blocks(table(spark, d, "blocks"), table(spark, d, "extracted_blocks"))
+
+
+@query
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.consistent_texts(table(spark, d, "blocks"), table(spark, d, "extracted_blocks"))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.skeleton_groups(table(spark, d, "blocks").unionByName(table(spark, d, "extracted_blocks"), allowMissingColumns=True).select("text"))
