@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, skeleton, spans, splitting
+from . import leakage, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,13 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeleton_groups(table(spark, d, "blocks").unionByName(table(spark, d, "extracted_blocks"), allowMissingColumns=True).select("text"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "translation_memory"), table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))
+
+
+@query
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "translation_memory"), table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))
