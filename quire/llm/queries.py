@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, skeleton, spans, splitting, truncation
+from . import leakage, pairs, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, d, "translation_memory"), table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))
+
+
+@query
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defect_report(table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))

@@ -95,12 +95,11 @@ def lookalike_blocks(blocks: DataFrame, extracted: DataFrame) -> DataFrame:
     Only pairs of unequal texts reach Python. Null texts, blocks in one table only and null keys
     give no row; deliveries and repeated rows count once.
     """
-    left = blocks.where("text is not null").select("doc_id", "block_id", "text").distinct()
-    right = extracted.where("text is not null").select("doc_id", "block_id", F.col("text").alias("other")).distinct()
+    left = blocks.where("text is not null").select("doc_id", "block_id", "text")
+    right = extracted.where("text is not null").select("doc_id", "block_id", F.col("text").alias("other"))
     apart = left.join(right, ["doc_id", "block_id"]).where("text <> other")
     return (
-        spread(apart)
-        .mapInPandas(lambda frames: (f.loc[f.form == f.extracted_form, ["doc_id", "block_id"]] for f in _apply(frames, {"form": "text", "extracted_form": "other"})), "doc_id string, block_id string")
+        apart.mapInPandas(lambda frames: (f.loc[f.form == f.extracted_form, ["doc_id", "block_id"]] for f in _apply(frames, {"form": "text", "extracted_form": "other"})), "doc_id string, block_id string")
         .distinct()
     )
 

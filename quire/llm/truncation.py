@@ -81,7 +81,7 @@ def judge(s: str = "s", t: str = "t", low: str = "low") -> Column:
     cut_inside = (c(t, "finish") == "inside") & c(s, "finish").isin("stop", "dots", "semicolon", "colon")
     dotted = (c(t, "finish") == "dots") & (c(s, "finish") != "dots")
     torn = c(t, "broken") & ~c(s, "broken")
-    unclosed = (c(t, "finish") != "stop") & (c(t, "open") > c(s, "open"))
+    unclosed = (c(t, "finish") != "stop") & (c(t, "open") > 0) & (c(s, "open") == 0)
     # Alike ends (both without a stop, or both with dots): the target stops early if lines are
     # missing, or if a text of some length is shorter than complete targets ever are.
     alike = (c(t, "finish") == c(s, "finish")) & c(t, "finish").isin("inside", "dots", "semicolon")
