@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, pairs, skeleton, spans, splitting, truncation
+from . import alignment, leakage, pairs, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_report(table(spark, d, "job_inputs"), table(spark, d, "job_outputs"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.aligned_sentences(table(spark, d, "translation_memory"), table(spark, d, "glossary"))
