@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import alignment, leakage, pairs, skeleton, spans, splitting, truncation
+from . import alignment, leakage, near, pairs, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,18 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return alignment.aligned_sentences(table(spark, d, "translation_memory"), table(spark, d, "glossary"))
+
+
+def _source_texts(spark: SparkSession, d: str) -> DataFrame:
+    memory = table(spark, d, "translation_memory").selectExpr("entry_id AS rec", "source_text AS text")
+    return memory.union(table(spark, d, "job_inputs").selectExpr("job.job_id AS rec", "payload.source_text AS text"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(_source_texts(spark, d))
+
+
+@query
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_records(_source_texts(spark, d))
