@@ -12,12 +12,19 @@ WORD = re.compile(r"[^\W_]+")
 #: Default_Ignorable_Code_Point in the ranges that occur in prose).
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
+_ALL = frozenset(chr(c) for c in range(0x10000) if _INVISIBLE.match(chr(c)))
+
+
+def strip_invisible(text: str) -> str:
+    if text.isascii() or _ALL.isdisjoint(text):
+        return text
+    return _INVISIBLE.sub("", text)
 
 
 def plain(text: str) -> str:
     """Compatibility-composed, without invisible characters, lower case."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+        text = unicodedata.normalize("NFKC", strip_invisible(text))
     return text.lower()
 
 
@@ -26,10 +33,6 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(plain(text)) if text else []
 
 
-def strip_invisible(text: str) -> str:
-    return text if text.isascii() else _INVISIBLE.sub("", text)
-
-
 def visible(text: str | None) -> bool:
     """Whether anything in the text leaves a mark on the page."""
     return bool(text) and bool(strip_invisible(text).strip())

@@ -25,6 +25,7 @@ _CLOSER = {"»": "«", "”": "“", ")": "(", "]": "[", "}": "{"}
 _NOTES = re.compile(r"(?:\s*\[[\w*]{1,6}\]|\s*[¹²³⁴⁵⁶⁷⁸⁹⁰†‡*]+)+$")
 _GROUP = re.compile(r"(?<=[.!?…])\s*\([^()]*\)$")
 _BROKEN = re.compile(r"(?:[�\ud800-\udfff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?\w{1,8})?|<[^<>]{0,80}|[ÐÑÃ])$")
+_TAIL = 400
 STATE = "finish string, open int, broken boolean, lines int, chars int"
 
 
@@ -47,9 +48,10 @@ def state(text: str | None) -> tuple[str, int, bool, int, int] | None:
         elif stack and (stack[-1] == _CLOSER.get(c) or (c == "“" and stack[-1] == "„")):
             stack.pop()
     bare = strip_invisible(text).strip()
-    lines = sum(1 for line in bare.split("\n") if line.strip())
-    broken = bool(_BROKEN.search(bare))
-    end = _GROUP.sub("", _NOTES.sub("", bare)).rstrip()
+    lines = sum(1 for line in bare.split("\n") if line.strip()) if "\n" in bare else bool(bare)
+    tail = bare[-_TAIL:]  # what ends the text; the patterns below are anchored at its end
+    broken = bool(_BROKEN.search(tail[-100:]))
+    end = _GROUP.sub("", _NOTES.sub("", tail)).rstrip()
     end = end.rstrip("”»\"'’“)] \n") or end
     if not end:
         finish = "none" if not bare else "stop"
@@ -57,7 +59,7 @@ def state(text: str | None) -> tuple[str, int, bool, int, int] | None:
         finish = "dots"
     else:
         finish = {".": "stop", "!": "stop", "?": "stop", "。": "stop", "؟": "stop", "।": "stop", ":": "colon", ";": "semicolon"}.get(end[-1], "inside")
-    return finish, len(stack), broken, lines, len(bare)
+    return finish, len(stack), broken, int(lines), len(bare)
 
 
 def states(df: DataFrame, key: str, column: str, keep: list[str]) -> DataFrame:
