@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import alignment, leakage, near, pairs, skeleton, spans, splitting, truncation
+from . import alignment, leakage, near, pairs, scans, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return near.near_records(_source_texts(spark, d))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "ocr_blocks"), table(spark, d, "blocks"))
