@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import alignment, leakage, near, pairs, scans, skeleton, spans, splitting, truncation
+from . import alignment, leakage, mixing, near, pairs, scans, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,18 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(table(spark, d, "ocr_blocks"), table(spark, d, "blocks"))
+
+
+@query
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "ocr_blocks"), table(spark, d, "blocks"))
+
+
+@query
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))

@@ -23,12 +23,13 @@ from pyspark.sql.window import Window as W
 
 from ..session import cut, spread
 
-#: What scanners take for what (fixed values): true form, misread forms. Lower case.
-CONFUSIONS = {
-    "o": ("0", "a", "e"), "a": ("o",), "e": ("c", "o"), "c": ("e",), "t": ("f", "l"), "f": ("t",), "l": ("1", "i", "t", "|"), "i": ("l", "1", "j"), "s": ("5",), "b": ("6", "8", "h"),
-    "h": ("b",), "g": ("9", "q"), "q": ("g", "9"), "z": ("2",), "n": ("ri", "u", "h"), "u": ("ii", "n", "v"), "m": ("rn", "nn"), "d": ("cl",), "w": ("vv",), "v": ("y",), "y": ("v",),
-    "т": ("г",), "г": ("т",), "н": ("п", "и"), "п": ("н", "л"), "и": ("н", "п"), "л": ("п",), "о": ("0", "с"), "е": ("с",), "с": ("е",), "в": ("8",), "з": ("3",), "б": ("6",), "э": ("з",),
-    "м": ("rn",), "ы": ("ьl", "ьi", "ь1"), "ж": ("ас",), "ш": ("щ", "ін"), "щ": ("ш",), "ю": ("10", "lо"), "ч": ("4",), "ц": ("п",), "й": ("и", "п"),
+#: What scanners take for what (fixed values), by script: true form, misread forms. Lower case.
+LATIN = {
+    "o": ("0",), "a": ("o",), "e": ("c",), "t": ("f",), "l": ("1", "i", "|"), "i": ("l", "1"), "s": ("5",), "b": ("6",), "h": ("b",), "g": ("9",), "z": ("2",),
+    "n": ("ri",), "u": ("ii",), "m": ("rn",), "d": ("cl",), "w": ("vv",),
+}
+CYRILLIC = {
+    "т": ("г",), "н": ("п",), "и": ("н", "п"), "л": ("п",), "о": ("0",), "е": ("с",), "в": ("8",), "з": ("3",), "б": ("6",), "м": ("rn",), "ы": ("ьl", "ьi", "ь1"), "ж": ("ас",), "ш": ("щ",), "щ": ("ш",), "ч": ("4",),
 }
 #: Letters that are misread figures (fixed values).
 FIGURES = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "O": "0", "o": "0", "О": "0", "о": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "З": "3", "з": "3", "б": "6"})
@@ -59,7 +60,7 @@ def number(token: str) -> tuple[int | None, bool]:
     return (int(plain), True) if plain.isdigit() and any(c.isdigit() for c in token) else (None, False)
 
 
-def _fold_table() -> tuple[list[tuple[str, str]], dict[int, str]]:
+def _fold_table(confusions: dict[str, tuple[str, ...]]) -> tuple[list[tuple[str, str]], dict[int, str]]:
     """Multi-letter misreadings, longest first, and one representative for each class of single ones."""
     parent: dict[str, str] = {}
 
@@ -69,24 +70,28 @@ def _fold_table() -> tuple[list[tuple[str, str]], dict[int, str]]:
         return x
 
     many = []
-    for true, reads in CONFUSIONS.items():
+    for true, reads in confusions.items():
         for read in reads:
             if len(read) == 1:
                 parent[root(read)] = root(true)
             else:
                 many.append((read, true))
-    return sorted(many, key=lambda x: -len(x[0])), {ord(x): root(x) for x in parent}
+    one = {ord(x): root(x) for x in parent}
+    return sorted({(read.translate(one), true.translate(one)) for read, true in many}, key=lambda x: (-len(x[0]), x)), one
 
 
-_MANY, _ONE = _fold_table()
+_FOLDS = {script: _fold_table(c) for script, c in (("latin", LATIN), ("cyrillic", CYRILLIC))}
+_CYRILLIC = re.compile("[а-яё]")
 
 
 def fold(word: str) -> str:
-    """A word with every class of confusable shapes brought to one letter."""
-    for read, true in _MANY:
+    """A lower-case word with every class of confusable shapes of its script brought to one letter."""
+    many, one = _FOLDS["cyrillic" if _CYRILLIC.search(word) else "latin"]
+    word = word.translate(one)
+    for read, true in many:
         if read in word:
             word = word.replace(read, true)
-    return word.translate(_ONE)
+    return word
 
 
 def delete_keys(word: str) -> set[str]:
@@ -95,7 +100,20 @@ def delete_keys(word: str) -> set[str]:
     return {f, *(f[:i] + f[i + 1 :] for i in range(len(f)))} if len(f) > 3 else {f}
 
 
-_PAIR = {(t, r) for t, reads in CONFUSIONS.items() for r in reads}
+def _pairs() -> set[tuple[str, str]]:
+    """(true, read): the confusion pairs, two-letter readings with a letter of them read wrongly again, and those turned round."""
+    out = set()
+    for confusions in (LATIN, CYRILLIC):
+        for true, reads in confusions.items():
+            for read in reads:
+                out.add((true, read))
+                if len(read) > 1:
+                    out.add((read, true))
+                    out |= {(true, read[:i] + again + read[i + 1 :]) for i, c in enumerate(read) for again in confusions.get(c, ()) if len(again) == 1}
+    return out
+
+
+_PAIR = _pairs()
 
 
 def distance(read: str, true: str, most: float = 2.0) -> float:
@@ -111,9 +129,11 @@ def distance(read: str, true: str, most: float = 2.0) -> float:
             best = min(best, row[i - 1][j] + 1.0, now[j - 1] + 1.0)
             if i > 1 and (true[j - 1], read[i - 2 : i]) in _PAIR:
                 best = min(best, row[i - 2][j - 1] + 0.3)
+            if j > 1 and (true[j - 2 : j], read[i - 1]) in _PAIR:
+                best = min(best, row[i - 1][j - 2] + 0.3)
             now[j] = best
         row[i] = now
-        if min(now.values()) > most:
+        if min(now.values()) > most and min(row[i - 1].values()) > most:
             return 9.0
     return row[n][m]
 
@@ -233,11 +253,12 @@ def lexicon(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     return scanned.union(rest).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
 
 
-def misreadings(words: DataFrame, most: float = 1.0) -> DataFrame:
+def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
     """(word, fixes): words of the scans that are misreadings, with up to three corrections, best first.
 
     A candidate comes from the symmetric-delete index over the lexicon; it must be far more
-    frequent than the word, which no clean text has, and within ``most`` of the weighted distance.
+    frequent than the word, which no clean text has, and within ``most`` of the weighted distance:
+    up to three confusions and no other edit, so that pieces of broken words are not corrected.
     """
     worded = words.where(~F.col("word").contains("-") & F.col("word").rlike(r"\p{L}"))
     suspects = worded.where("n_clean = 0 and n_scan > 0 and length(word) > 1")
@@ -253,38 +274,68 @@ def misreadings(words: DataFrame, most: float = 1.0) -> DataFrame:
     weight = (F.col("n_clean") + F.col("n_scan")).alias("n")
     left = suspects.select("word", weight).mapInPandas(keys, schema)
     right = known.select("word", weight).mapInPandas(keys, schema).toDF("fix", "n_fix", "key")
+    clean = words.where("n_clean > 0").select(F.col("word").alias("fix"), F.lit(True).alias("clean"))
     rare = F.col("n") * 3 <= F.col("n_fix")
     pairs = left.join(right, "key").where("word <> fix").where(rare).select("word", "n", "fix", "n_fix").distinct()
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             cost = np.array([distance(a, b, most) for a, b in zip(f.word, f.fix)])
-            # An edit that is no confusion needs a much more frequent word and some length.
-            plain = (cost >= 1.0) & ~((f.n_fix.to_numpy() >= 30 * f.n.to_numpy()) & (f.word.str.len().to_numpy() >= 6))
-            keep = (cost <= most) & ~plain
+            keep = cost <= most
             yield pd.DataFrame({"word": f.word[keep], "fix": f.fix[keep], "cost": cost[keep], "n_fix": f.n_fix[keep]})
 
-    ranked = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint").withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix")))
+    ranked = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint").join(clean, "fix", "left").withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy(F.desc_nulls_last("clean"), "cost", F.desc("n_fix"), "fix")))
     return ranked.where("rank <= 3").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fix"))), lambda x: x["fix"]).alias("fixes"))
 
 
 def _figures_read(token: str) -> bool:
     """Whether a token is a figure in which letters were read."""
-    if token.isdigit() or len(token) < 2:
-        return False
-    return number(token)[1] and not token.lower().isdigit()
+    return len(token) > 1 and not token.isdigit() and number(token)[1]
 
 
-def _odd_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct words of every block, as rows of arrays, and whether a figure was misread."""
-    for f in frames:
-        rows = []
-        for doc, page, blocks in zip(f.doc_id, f.page_num, f.blocks):
-            for b in blocks:
-                text = b["text"]
-                tokens = set(_WORD.findall(_joined(text)))
-                rows.append((doc, b["block_id"], sorted({t.lower() for t in tokens if not t.isdigit()}), any(_figures_read(t) for t in tokens)))
-        yield pd.DataFrame(rows, columns=["doc_id", "block_id", "words", "figures"])
+def _bitmap(words: DataFrame, bits: int = 23) -> np.ndarray:
+    """A bitmap over word hashes: bounded, whatever the data, and without misses."""
+
+    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            slot = np.array([_slot(w, bits) for w in f.word], np.int64)
+            yield pd.DataFrame({"byte": slot >> 3, "mask": (1 << (slot & 7)).astype(np.int32)})
+
+    rows = words.mapInPandas(slots, "byte bigint, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[rows["byte"].to_numpy(np.int64)] = rows["mask"].to_numpy()
+    return out
+
+
+def _slot(word: str, bits: int) -> int:
+    return xxhash.xxh64_intdigest(word) & ((1 << bits) - 1)
+
+
+def _odd_words(bitmap: np.ndarray):
+    """Rows (doc_id, block_id, word) of words that the bitmap holds; a null word for a misread figure."""
+    bits = int(len(bitmap)).bit_length() + 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for f in frames:
+            rows = []
+            if len(known) > 500_000:
+                known.clear()
+            for doc, blocks in zip(f.doc_id, f.blocks):
+                for b in blocks:
+                    for token in set(_WORD.findall(_joined(b["text"]))):
+                        low = token.lower()
+                        hit = known.get(low)
+                        if hit is None:
+                            slot = _slot(low, bits)
+                            hit = known[low] = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                        if hit:
+                            rows.append((doc, b["block_id"], low))
+                        if _figures_read(token):
+                            rows.append((doc, b["block_id"], None))
+            yield pd.DataFrame(rows, columns=["doc_id", "block_id", "word"])
+
+    return run
 
 
 def _breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,10 +409,10 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     words = cut(lexicon(ocr, blocks))
     furniture = cut(page_furniture(paged))
     wrong = cut(misreadings(words))
-    tokens = paged.mapInPandas(_odd_words, "doc_id string, block_id string, words array<string>, figures boolean")
-    # Only words that no clean text has are looked up block by block.
-    listed = tokens.select("doc_id", "block_id", F.explode("words").alias("word")).join(wrong.select("word"), "word").select("doc_id", "block_id")
-    figures = tokens.where("figures").select("doc_id", "block_id").union(furniture.where("misread").select("doc_id", "block_id"))
+    tokens = paged.mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
+    # The bitmap lets some other words through; the join settles it.
+    listed = tokens.join(wrong.select("word"), "word").select("doc_id", "block_id")
+    figures = tokens.where("word is null").select("doc_id", "block_id").union(furniture.where("misread").select("doc_id", "block_id"))
     parts = (
         listed.union(figures).withColumn("noise", F.lit("misread"))
         .union(furniture.where("running").select("doc_id", "block_id", F.lit("running_line").alias("noise")))
@@ -369,3 +420,142 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
         .union(broken_words(paged, words).where("real").select("doc_id", "block_id", F.lit("hyphenation").alias("noise")))
     )
     return parts.distinct()
+
+
+def _contexts(bitmap: np.ndarray):
+    """Occurrences of misread words with the words beside them: doc_id, page_num, word, before, after."""
+    bits = int(len(bitmap)).bit_length() + 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = set()
+            for doc, page, blocks in zip(f.doc_id, f.page_num, f.blocks):
+                for b in blocks:
+                    tokens = _WORD.findall(_joined(b["text"]).lower())
+                    for i, t in enumerate(tokens):
+                        slot = _slot(t, bits)
+                        if bitmap[slot >> 3] >> (slot & 7) & 1:
+                            rows.add((doc, page, t, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
+            yield pd.DataFrame(sorted(rows), columns=["doc_id", "page_num", "word", "before", "after"])
+
+    return run
+
+
+def _bigrams(bitmap: np.ndarray):
+    """Counts of the pairs of adjacent words that the bitmap asks for."""
+    bits = int(len(bitmap)).bit_length() + 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[str] = Counter()
+        for f in frames:
+            for text in f.text:
+                tokens = _WORD.findall(text.lower())
+                for pair in map(" ".join, zip(tokens, tokens[1:])):
+                    slot = _slot(pair, bits)
+                    if bitmap[slot >> 3] >> (slot & 7) & 1:
+                        total[pair] += 1
+            if len(total) > 400_000:
+                yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+                total = Counter()
+        yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"n": "int64", "word": object})
+
+    return run
+
+
+def repairs(paged: DataFrame, wrong: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, page_num, word, fix): the repair of every misread word of a page.
+
+    Among the candidates the one wins whose pairs with the words beside it are the most frequent
+    in ``texts(text)``; without any such pair the first candidate does.
+    """
+    seen = paged.mapInPandas(_contexts(_bitmap(wrong)), "doc_id string, page_num int, word string, before string, after string").join(wrong, "word")
+    seen = cut(seen)
+    tried = seen.where(F.size("fixes") > 1).select("doc_id", "page_num", "word", "before", "after", F.posexplode("fixes").alias("rank", "fix"))
+    tried = tried.withColumns({"left": F.concat_ws(" ", "before", "fix"), "right": F.concat_ws(" ", "fix", "after")})
+    asked = tried.select(F.explode(F.array("left", "right")).alias("word")).distinct()
+    counts = cut(spread(texts.where("text is not null").select("text")).mapInPandas(_bigrams(_bitmap(asked)), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    scored = tried.join(counts.toDF("left", "n_left"), "left", "left").join(counts.toDF("right", "n_right"), "right", "left")
+    score = F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0)))
+    best = scored.groupBy("doc_id", "page_num", "word").agg(F.max_by("fix", F.struct(score.alias("s"), (-F.col("rank")).alias("r"))).alias("fix"))
+    single = seen.where(F.size("fixes") == 1).select("doc_id", "page_num", "word", F.col("fixes")[0].alias("fix")).distinct()
+    return best.unionByName(single)
+
+
+def _cased(fix: str, like: str) -> str:
+    return fix.upper() if like.isupper() and len(like) > 1 else fix.capitalize() if like[0].isupper() else fix
+
+
+def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paragraphs of each page without furniture, breaks and misreadings."""
+    ends = re.compile(r"[.!?…:;»”)\]]$")
+    for f in frames:
+        rows = []
+        for r in f.itertuples(index=False):
+            drop = {(x["block_id"], x["line"]) for x in (r.lines if r.lines is not None else ())}
+            fix = dict(zip(r.bad, r.good)) if r.bad is not None else {}
+            keep = {(x["left"], x["right"]) for x in (r.compounds if r.compounds is not None else ())}
+            parts: list[str] = []
+            for b in r.blocks:
+                lines = [line for i, line in enumerate(b["text"].split("\n")) if (b["block_id"], i) not in drop and line.strip()]
+                text = "\n".join(lines)
+                if not text:
+                    continue
+                if parts and not ends.search(parts[-1]) and text.lstrip()[0].islower():
+                    parts[-1] += "\n" + text
+                else:
+                    parts.append(text)
+            done = [_flow(p, fix, keep) for p in parts]
+            rows.append((r.doc_id, r.page_num, done))
+        yield pd.DataFrame(rows, columns=["doc_id", "page_num", "parts"])
+
+
+def _flow(text: str, fix: dict[str, str], keep: set[tuple[str, str]]) -> str:
+    """One paragraph: breaks joined, misread words repaired, figures read, white space single."""
+
+    def rejoin(m: re.Match[str]) -> str:
+        if not m[3]:
+            return m[0]
+        return f"{m[1]}-{m[3]}" if (m[1].lower(), m[3].lower()) in keep else m[1] + m[3]
+
+    def repair(m: re.Match[str]) -> str:
+        word = m[0]
+        if _figures_read(word):
+            return word.translate(FIGURES)
+        better = fix.get(word.lower())
+        return _cased(better, word) if better else word
+
+    return re.sub(r"\s+", " ", _WORD.sub(repair, _BROKEN.sub(rejoin, text))).strip()
+
+
+def paragraphs(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Continuous, readable paragraphs per book: doc_id, page_num, paragraph_no, text.
+
+    Running lines and page numbers are left out, broken words joined, misread words repaired by
+    bigram context, lines joined. A paragraph that a page end interrupts is completed with the
+    beginning of the next page and stands on the page where it begins.
+    """
+    paged = cut(pages(ocr))
+    words = cut(lexicon(ocr, blocks))
+    wrong = cut(misreadings(words))
+    clean = blocks.where(~F.coalesce(F.array_contains("flags", "ocr"), F.lit(False))).select("text")
+    fixes = repairs(paged, wrong, ocr.select("text").union(clean)).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("word", "fix")).alias("w"))
+    fixes = fixes.select("doc_id", "page_num", F.col("w.word").alias("bad"), F.col("w.fix").alias("good"))
+    lines = page_furniture(paged).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("block_id", "line")).alias("lines"))
+    split = broken_words(paged, words).where("not real").select("doc_id", "block_id", "left", "right")
+    home = paged.select("doc_id", "page_num", F.explode("blocks.block_id").alias("block_id"))
+    compounds = split.join(home, ["doc_id", "block_id"]).groupBy("doc_id", "page_num").agg(F.collect_set(F.struct("left", "right")).alias("compounds"))
+    key = ["doc_id", "page_num"]
+    ready = paged.join(lines, key, "left").join(fixes, key, "left").join(compounds, key, "left")
+    done = cut(ready.select("doc_id", "page_num", "blocks", "lines", "bad", "good", "compounds").mapInPandas(_repaired, "doc_id string, page_num int, parts array<string>"))
+    # Over a page end: the head of the next page goes to the tail of this one.
+    tail, head = F.element_at("parts", -1), F.element_at("parts", 1)
+    some = done.where(F.size("parts") > 0)
+    opened = some.where(~tail.rlike("[.!?…:;»”)\\]]$")).select("doc_id", (F.col("page_num") + 1).alias("page_num"))
+    moved = some.where(head.rlike("^\\p{Ll}")).select("doc_id", "page_num", head.alias("head")).join(opened, key)
+    onward = moved.select("doc_id", (F.col("page_num") - 1).alias("page_num"), F.col("head").alias("more"))
+    glue = F.when(tail.rlike(f"\\p{{L}}[{MARKS}]$"), F.concat(F.regexp_replace(tail, f"[{MARKS}]$", ""), F.col("more"))).otherwise(F.concat_ws(" ", tail, F.col("more")))
+    both = some.join(onward, key, "left").join(moved.select("doc_id", "page_num", F.lit(1).alias("lost")), key, "left")
+    kept = F.slice("parts", F.lit(1), F.greatest(F.lit(0), F.size("parts") - 1))
+    whole = F.when(F.col("more").isNotNull(), F.concat(kept, F.array(glue))).otherwise(F.col("parts"))
+    rows = both.withColumn("parts", whole).withColumn("parts", F.when(F.col("lost") == 1, F.slice("parts", F.lit(2), F.greatest(F.lit(0), F.size("parts") - 1))).otherwise(F.col("parts")))
+    return rows.select("doc_id", "page_num", F.posexplode("parts").alias("paragraph_no", "text")).where("text <> ''")
