@@ -166,31 +166,39 @@ def _repeats(base: DataFrame, gradients: list[np.ndarray], start: float, caps: n
     return base.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, home int, whole int, place double")
 
 
-def _thresholds(drawn: DataFrame, target: np.ndarray, levels: int = 4, cells: int = 1024) -> np.ndarray:
-    """Per domain the ``place`` below which one more repeat is drawn, so that its tokens come nearest to the target.
+def _thresholds(drawn: DataFrame, target: np.ndarray, levels: int = 4, cells: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Per domain the size up to which documents are small, and the ``place`` below which small ones get one more repeat.
 
+    Large documents are drawn with their probability (``place`` below 1); the threshold over the
+    small ones then brings the domain's tokens as near to the target as one small document allows.
     Each level sums the tokens in ``cells`` cells of the interval that holds the threshold: a
     bounded table, and a resolution of ``cells ** levels``.
     """
     n = len(target)
-    fixed = np.zeros(n)
-    for r in drawn.where("home >= 0").groupBy("home").agg(F.sum(F.col("n_tokens") * F.col("whole")).alias("t")).collect():
-        fixed[r.home] = r.t
-    low, width = np.zeros(n), np.full(n, 4.0)
-    base = fixed.copy()
+    owned = drawn.where("home >= 0")
+    small = np.zeros(n)
+    for r in owned.where("place < 1e300").groupBy("home").agg(F.percentile_approx("n_tokens", 0.5, 1000).alias("m")).collect():
+        small[r.home] = r.m
+    size = F.array(*[F.lit(float(x)) for x in small])
+    large = F.col("n_tokens") > F.get(size, F.col("home"))
+    base = np.zeros(n)
+    sure = F.col("whole") + F.when(large & (F.col("place") < 1), 1).otherwise(0)
+    for r in owned.groupBy("home").agg(F.sum(F.col("n_tokens") * sure).alias("t")).collect():
+        base[r.home] = r.t
+    low, width, last = np.zeros(n), np.full(n, 64.0), np.zeros(n)
     for _ in range(levels):
         table = np.zeros((n, cells))
         start, wide = F.array(*[F.lit(float(x)) for x in low]), F.array(*[F.lit(float(x)) for x in width])
         at = F.floor((F.col("place") - F.get(start, F.col("home"))) / F.get(wide, F.col("home")) * cells)
-        rows = drawn.where("home >= 0 and place < 1e300").select("home", "n_tokens", at.alias("cell")).where((F.col("cell") >= 0) & (F.col("cell") < cells)).groupBy("home", "cell").agg(F.sum("n_tokens").alias("t")).collect()
+        rows = owned.where("place < 1e300").where(~large).select("home", "n_tokens", at.alias("cell")).where((F.col("cell") >= 0) & (F.col("cell") < cells)).groupBy("home", "cell").agg(F.sum("n_tokens").alias("t")).collect()
         for r in rows:
             table[r.home, int(r.cell)] = r.t
         for s in range(n):
             upto = base[s] + np.concatenate([[0.0], np.cumsum(table[s])])
-            k = int(np.searchsorted(upto, target[s], "right")) - 1
-            k = max(0, min(k, cells - 1))
-            base[s], low[s], width[s] = upto[k], low[s] + k * width[s] / cells, width[s] / cells
-    return low
+            k = min(max(0, int(np.searchsorted(upto, target[s], "right")) - 1), cells - 1)
+            base[s], low[s], width[s], last[s] = upto[k], low[s] + k * width[s] / cells, width[s] / cells, table[s, k]
+    nearer = target - base > last / 2
+    return small, np.where(nearer, low + width, low)
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, rounds: int = 12, ranks: str = RANKS) -> DataFrame:
@@ -219,10 +227,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     base = cut(token_counts(docs, domains, classifier, ranks).where("n_tokens > 0"))
     gradients, start, got, target = fit_rates(base, weights, caps, total_tokens, rounds)
     drawn = cut(_repeats(base, gradients, start, caps))
-    edge = _thresholds(drawn, target)
+    small, edge = _thresholds(drawn, target)
     names = F.array(*[F.lit(d) for d in domains])
-    limit = F.array(*[F.lit(float(x)) for x in edge])
-    repeats = F.col("whole") + F.when(F.col("place") < F.get(limit, F.col("home")), 1).otherwise(0)
+    limit, size = F.array(*[F.lit(float(x)) for x in edge]), F.array(*[F.lit(float(x)) for x in small])
+    below = F.when(F.col("n_tokens") > F.get(size, F.col("home")), F.lit(1.0)).otherwise(F.get(limit, F.col("home")))
+    repeats = F.col("whole") + F.when(F.col("place") < below, 1).otherwise(0)
     out = drawn.where("home >= 0").select("doc_id", "source", F.get(names, F.col("home")).alias("domain"), "n_tokens", repeats.cast("int").alias("repeats"))
     return out.where("repeats > 0")
 
