@@ -44,6 +44,7 @@ _LEAD = re.compile(rf"({_NUMBER})\s*(?:[|·—–-]\s*)?(?=[^\W\d_])")
 _TRAIL = re.compile(rf"(?:(?:[|·—–-]\s*)|\s)({_NUMBER})$")
 _CAPTION = re.compile(r"(?:figure|fig\.|table|рис\.|рисунок|табл\.|таблица)\s", re.IGNORECASE)
 _LONGEST_LINE = 90
+_STOPS = ".,;?!:" + MARKS
 
 
 def number(token: str) -> tuple[int | None, bool]:
@@ -150,6 +151,11 @@ def pages(ocr: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.coalesce("page_num", F.lit(0)).alias("page_num")).agg(F.array_sort(F.collect_set(block)).alias("blocks"))
 
 
+def _flat(paged: DataFrame) -> DataFrame:
+    """One row per block again, with whether it is the first of its page."""
+    return paged.select("doc_id", "page_num", F.posexplode("blocks").alias("at", "b")).select("doc_id", "page_num", "b.block_id", "b.text", (F.col("at") == 0).alias("top"))
+
+
 def _header_parts(line: str) -> tuple[str, str]:
     """Folded words and number token of a line that may be a running line; the number may be missing."""
     token = ""
@@ -168,24 +174,23 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines that may be running lines or page numbers, one row each."""
     for f in frames:
         rows = []
-        for doc, page, blocks in zip(f.doc_id, f.page_num, f.blocks):
-            for k, b in enumerate(blocks):
-                lines = b["text"].split("\n")
-                for at, line in enumerate(lines):
-                    s = line.strip()
-                    if not s or len(s) > _LONGEST_LINE:
-                        continue
-                    if (m := _LONE.fullmatch(s)) and number(m[1])[0] is not None:
-                        value, misread = number(m[1])
-                        rows.append((doc, page, b["block_id"], at, "", value, misread, True, len(lines) == 1, k == 0))
-                        continue
-                    if s[-1] in ".,;?!:" + MARKS and not re.search(r"\d\.$", s) or s[0].islower() and not _LEAD.match(s) or _CAPTION.match(s):
-                        continue
-                    key, token = _header_parts(s)
-                    if len(key) < 6:
-                        continue
-                    value, misread = number(token) if token else (None, False)
-                    rows.append((doc, page, b["block_id"], at, key, value, misread, False, len(lines) == 1, k == 0))
+        for doc, page, block, text, top in zip(f.doc_id, f.page_num, f.block_id, f.text, f.top):
+            lines = text.split("\n")
+            for at, line in enumerate(lines):
+                s = line.strip()
+                if not s or len(s) > _LONGEST_LINE:
+                    continue
+                if (m := _LONE.fullmatch(s)) and number(m[1])[0] is not None:
+                    value, misread = number(m[1])
+                    rows.append((doc, page, block, at, "", value, misread, True, len(lines) == 1, top))
+                    continue
+                if s[0].islower() and not _LEAD.match(s) or s[-1] in _STOPS and not (s[-1] == "." and s[-2:-1].isdigit()) or _CAPTION.match(s):
+                    continue
+                key, token = _header_parts(s)
+                if len(key) < 6:
+                    continue
+                value, misread = number(token) if token else (None, False)
+                rows.append((doc, page, block, at, key, value, misread, False, len(lines) == 1, top))
         yield pd.DataFrame(rows, columns=["doc_id", "page_num", "block_id", "line", "key", "value", "misread", "lone", "whole", "top"]).astype({"value": "Int64"})
 
 
@@ -201,7 +206,7 @@ def page_furniture(paged: DataFrame, least_pages: int = 3, least_share: float =
     kept where it stands without one. A line is a page number only with the number of its page
     (or one figure of it misread, in a line that recurs).
     """
-    lines = cut(paged.mapInPandas(_lines, _LINES))
+    lines = cut(_flat(paged).mapInPandas(_lines, _LINES))
     shift = (F.col("value") - F.col("page_num")).alias("shift")
     votes = lines.where("value is not null").groupBy("doc_id", shift).agg(F.countDistinct("page_num").alias("n"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.abs("shift")).alias("small"), "shift")).alias("b")).where("b.n >= 2").select("doc_id", F.col("b.shift").alias("shift"))
@@ -316,23 +321,22 @@ def _odd_words(bitmap: np.ndarray):
     bits = int(len(bitmap)).bit_length() + 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, bool] = {}
+        known: dict[str, tuple[str | None, bool]] = {}
         for f in frames:
             rows = []
             if len(known) > 500_000:
                 known.clear()
-            for doc, blocks in zip(f.doc_id, f.blocks):
-                for b in blocks:
-                    for token in set(_WORD.findall(_joined(b["text"]))):
+            for doc, block, text in zip(f.doc_id, f.block_id, f.text):
+                for token in set(_WORD.findall(_joined(text))):
+                    found = known.get(token)
+                    if found is None:
                         low = token.lower()
-                        hit = known.get(low)
-                        if hit is None:
-                            slot = _slot(low, bits)
-                            hit = known[low] = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
-                        if hit:
-                            rows.append((doc, b["block_id"], low))
-                        if _figures_read(token):
-                            rows.append((doc, b["block_id"], None))
+                        slot = _slot(low, bits)
+                        found = known[token] = (low if bitmap[slot >> 3] >> (slot & 7) & 1 else None, _figures_read(token))
+                    if found[0]:
+                        rows.append((doc, block, found[0]))
+                    if found[1]:
+                        rows.append((doc, block, None))
             yield pd.DataFrame(rows, columns=["doc_id", "block_id", "word"])
 
     return run
@@ -409,7 +413,7 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     words = cut(lexicon(ocr, blocks))
     furniture = cut(page_furniture(paged))
     wrong = cut(misreadings(words))
-    tokens = paged.mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
+    tokens = _flat(paged).mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
     # The bitmap lets some other words through; the join settles it.
     listed = tokens.join(wrong.select("word"), "word").select("doc_id", "block_id")
     figures = tokens.where("word is null").select("doc_id", "block_id").union(furniture.where("misread").select("doc_id", "block_id"))
