@@ -133,7 +133,8 @@ def fit_rates(base: DataFrame, weights: np.ndarray, caps: np.ndarray, total: flo
 
     have = np.maximum(sums([], 1.0), 1e-9)
     # The largest total that every domain can serve under its cap, unless one is asked for.
-    wanted = weights > 0
+    # A domain without any tokens cannot be served and does not hold the others back.
+    wanted = (weights > 0) & (have > 0.5)
     size = total or float(np.min(caps[wanted] * have[wanted] / weights[wanted])) if wanted.any() else 0.0
     target = weights * size
     gradients: list[np.ndarray] = []

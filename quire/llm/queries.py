@@ -130,3 +130,13 @@ def p9_selection(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+SQL["p1_found"] = r"""
+WITH r AS (SELECT entry_id AS rec, source_text AS text FROM translation_memory UNION SELECT job.job_id, payload.source_text FROM job_inputs),
+w AS (SELECT rec, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT rec, hash(w[i], w[i + 1]) AS g FROM (SELECT rec, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 12)),
+n AS (SELECT rec, count(*) AS n FROM b GROUP BY 1),
+p AS (SELECT x.rec AS rec_a, y.rec AS rec_b, count(*) AS k FROM b x JOIN b y ON x.g = y.g AND x.rec < y.rec GROUP BY 1, 2)
+SELECT rec_a, rec_b FROM p JOIN n a ON a.rec = rec_a JOIN n c ON c.rec = rec_b WHERE 5 * k >= 3 * (a.n + c.n - k)
+"""
