@@ -118,32 +118,60 @@ def _pairs(points: np.ndarray, size: np.ndarray, others: np.ndarray, other_size:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _shards(radius: int, least: float, hot: int):
-    """Search the trees of a shard; buckets above ``hot`` members come out as chunks instead, to be searched in cells."""
+def _starts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of every entry of a sorted array, where each bucket begins, and how many it has."""
+    bucket = entries["key"] >> np.uint64(16)
+    first = np.ones(len(entries), bool)
+    first[1:] = bucket[1:] != bucket[:-1]
+    starts = np.flatnonzero(first)
+    return bucket, starts, np.diff(np.append(starts, len(entries)))
+
+
+def _shards(radius: int, least: float, hot: int, held: int = 4_000_000):
+    """Search the trees of a shard; buckets above ``hot`` members come out as chunks instead, to be searched in cells.
+
+    A task holds about ``held`` entries: before it takes in more, the members of hot buckets leave
+    as chunks, and later members of these buckets follow them.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks: dict[int, int] = {}
+
+        def leave(entries: np.ndarray) -> tuple[list[pd.DataFrame], np.ndarray]:
+            bucket, starts, n = _starts(entries)
+            out, keep = [], np.ones(len(entries), bool)
+            leaving = n > hot
+            if chunks:
+                leaving |= np.isin(bucket[starts], np.fromiter(chunks, np.uint64, len(chunks)))
+            for start, k in zip(starts[leaving], n[leaving]):
+                key = int(bucket[start])
+                keep[start : start + k] = False
+                for at in range(start, start + k, hot):
+                    chunks[key] = chunks.get(key, -1) + 1
+                    out.append(pd.DataFrame({"a": [np.int64(key)], "b": [np.int64(chunks[key])], "blob": [entries[at : min(at + hot, start + k)].tobytes()]}))
+            return out, entries[keep]
+
         blobs: list[bytes] = []
+        size = 0
         for frame in frames:
             blobs += frame.blob.tolist()
-        entries = np.frombuffer(b"".join(blobs), _ENTRY)
+            size += sum(map(len, frame.blob)) // _ENTRY.itemsize
+            if size > held:
+                out, entries = leave(np.unique(np.frombuffer(b"".join(blobs), _ENTRY)))
+                yield from out
+                blobs, size = [entries.tobytes()], 0
+        entries = np.unique(np.frombuffer(b"".join(blobs), _ENTRY))
         if not len(entries):
             return
-        entries = np.unique(entries)
-        bucket = entries["key"] >> np.uint64(16)
-        first = np.ones(len(entries), bool)
-        first[1:] = bucket[1:] != bucket[:-1]
-        starts = np.flatnonzero(first)
-        n = np.diff(np.append(starts, len(entries)))
-        for start, k in zip(starts[n > hot], n[n > hot]):
-            for chunk, at in enumerate(range(start, start + k, hot)):
-                yield pd.DataFrame({"a": [np.int64(bucket[start])], "b": [np.int64(chunk)], "blob": [entries[at : min(at + hot, start + k)].tobytes()]})
-        keep = np.repeat((n > 1) & (n <= hot), n)
+        out, entries = leave(entries)
+        yield from out
+        bucket, _, n = _starts(entries)
+        keep = np.repeat(n > 1, n)
         entries, bucket = entries[keep], bucket[keep]
         if len(entries):
             points, size = _points(entries), (entries["key"] & np.uint64(0xFFFF)).astype(np.float64)
             forest = Forest(points, bucket)
-            out = _pairs(points, size, points, size, forest.root, forest, radius, least, True)
-            yield out.assign(blob=None)
+            yield _pairs(points, size, points, size, forest.root, forest, radius, least, True).assign(blob=None)
 
     return run
 

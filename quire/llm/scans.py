@@ -148,7 +148,9 @@ def pages(ocr: DataFrame) -> DataFrame:
     """(doc_id, page_num, blocks): the blocks of a page in reading order, each once."""
     rows = ocr.where("doc_id is not null and block_id is not null and text is not null")
     block = F.struct(F.coalesce("reading_order", F.lit(0)).alias("ro"), "block_id", "text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
-    return rows.groupBy("doc_id", F.coalesce("page_num", F.lit(0)).alias("page_num")).agg(F.array_sort(F.collect_set(block)).alias("blocks"))
+    # Blocks without a page number stand alone, so that they make no page without bound.
+    own = F.coalesce("page_num", (-1 - F.pmod(F.xxhash64("block_id"), F.lit(1_000_000_000))).cast("int"))
+    return rows.groupBy("doc_id", own.alias("page_num")).agg(F.array_sort(F.collect_set(block)).alias("blocks"))
 
 
 def _flat(paged: DataFrame) -> DataFrame:
@@ -224,38 +226,51 @@ def page_furniture(paged: DataFrame, least_pages: int = 3, least_share: float =
     return known.select("doc_id", "page_num", "block_id", "line", running.alias("running"), numbered.alias("numbered"), (numbered & (F.col("misread") | nearly)).alias("misread")).where("running or numbered")
 
 
+def _rejoined(text: str) -> list[str]:
+    """The words that line ends break within the text, in one piece."""
+    return [m[1] + m[3] for m in _BROKEN.finditer(text) if m[3]]
+
+
 def _counts(clean: bool):
-    """Word counts of a batch, compounds and joined, as rows (word, n_clean, n_scan): combined before anything is shuffled."""
+    """Word counts of a batch as rows (word, n_clean, n_scan, n_broken): combined before anything is shuffled.
+
+    Compounds count as such as well; words broken at line ends count apart, as what they are is open.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[str] = Counter()
+        broken: Counter[str] = Counter()
         for f in frames:
             for text in f.text:
-                low = (text if clean else _joined(text)).lower()
+                low = text.lower()
+                if not clean:
+                    broken.update(_rejoined(low))
+                    low = _joined(low)
                 total.update(_WORD.findall(low))
                 total.update(f"{a}-{b}" for a, b in _COMPOUND.findall(low))
             if len(total) > 400_000:
-                yield _table(total, clean)
-                total = Counter()
-        if total:
-            yield _table(total, clean)
+                yield _table(total, broken, clean)
+                total, broken = Counter(), Counter()
+        if total or broken:
+            yield _table(total, broken, clean)
 
     return run
 
 
-def _table(total: Counter[str], clean: bool) -> pd.DataFrame:
-    n = np.fromiter(total.values(), np.int64, len(total))
-    none = np.zeros(len(total), np.int64)
-    return pd.DataFrame({"word": list(total), "n_clean": n if clean else none, "n_scan": none if clean else n})
+def _table(total: Counter[str], broken: Counter[str], clean: bool) -> pd.DataFrame:
+    words = list(total | broken)
+    n = np.array([total[w] for w in words], np.int64)
+    none = np.zeros(len(words), np.int64)
+    return pd.DataFrame({"word": words, "n_clean": n if clean else none, "n_scan": none if clean else n, "n_broken": np.array([broken[w] for w in words], np.int64)})
 
 
 def lexicon(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(word, n_clean, n_scan): counts over all scanned texts and all texts that were not scanned."""
-    schema = "word string, n_clean bigint, n_scan bigint"
+    """(word, n_clean, n_scan, n_broken): counts over all scanned texts and all texts that were not scanned."""
+    schema = "word string, n_clean bigint, n_scan bigint, n_broken bigint"
     scanned = spread(ocr.where("text is not null").select("text")).mapInPandas(_counts(False), schema)
     scan_flag = F.coalesce(F.array_contains("flags", "ocr"), F.lit(False))
     rest = spread(blocks.where(~scan_flag & F.col("text").isNotNull()).select("text")).mapInPandas(_counts(True), schema)
-    return scanned.union(rest).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return scanned.union(rest).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n_clean", "n_scan", "n_broken")])
 
 
 def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
@@ -266,7 +281,7 @@ def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
     up to three confusions and no other edit, so that pieces of broken words are not corrected.
     """
     worded = words.where(~F.col("word").contains("-") & F.col("word").rlike(r"\p{L}"))
-    suspects = worded.where("n_clean = 0 and n_scan > 0 and length(word) > 1")
+    suspects = worded.where("n_clean = 0 and n_scan + n_broken > 0 and length(word) > 1")
     known = worded.where("n_clean + n_scan >= 3 and length(word) > 2")
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +291,7 @@ def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
             yield pd.DataFrame({"word": np.repeat(f.word.to_numpy(object), n), "n": np.repeat(f.n.to_numpy(), n), "key": np.array([k for x in found for k in x], np.uint64).view(np.int64)})
 
     schema = "word string, n bigint, key bigint"
-    weight = (F.col("n_clean") + F.col("n_scan")).alias("n")
+    weight = F.greatest(F.lit(1), F.col("n_clean") + F.col("n_scan")).alias("n")
     left = suspects.select("word", weight).mapInPandas(keys, schema)
     right = known.select("word", weight).mapInPandas(keys, schema).toDF("fix", "n_fix", "key")
     clean = words.where("n_clean > 0").select(F.col("word").alias("fix"), F.lit(True).alias("clean"))
@@ -327,7 +342,7 @@ def _odd_words(bitmap: np.ndarray):
             if len(known) > 500_000:
                 known.clear()
             for doc, block, text in zip(f.doc_id, f.block_id, f.text):
-                for token in set(_WORD.findall(_joined(text))):
+                for token in {*_WORD.findall(_joined(text)), *_rejoined(text)}:
                     found = known.get(token)
                     if found is None:
                         low = token.lower()
@@ -407,7 +422,7 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``ocr(doc_id, block_id, page_num, reading_order, text, confidence)``; ``blocks(text, flags)`` adds clean text to
     the lexicon and may be empty. Rows with a null key or text and empty texts have no noise;
-    deliveries count once; null page numbers are one page of their own; extra columns are not read.
+    deliveries count once; a block without a page number is a page of its own; extra columns are not read.
     """
     paged = cut(pages(ocr))
     words = cut(lexicon(ocr, blocks))
@@ -440,6 +455,7 @@ def _contexts(bitmap: np.ndarray):
                         slot = _slot(t, bits)
                         if bitmap[slot >> 3] >> (slot & 7) & 1:
                             rows.add((doc, page, t, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
+                    rows |= {(doc, page, t, "", "") for t in _rejoined(b["text"].lower())}
             yield pd.DataFrame(sorted(rows), columns=["doc_id", "page_num", "word", "before", "after"])
 
     return run
