@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import backends, chunking, complexity, layout, memory, planning, quality, structure
+from ..operators import backends, chunking, complexity, context, layout, memory, planning, quality, structure
 from ..operators.ordered import latest
 from ..session import table
 from ..sources import readers, sinks
@@ -194,27 +194,27 @@ def w03_reading_order(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def p01_line_kinds(s: SparkSession, d: str) -> DataFrame:
+def cls01_line_kinds(s: SparkSession, d: str) -> DataFrame:
     return structure.classify_lines(extracted(s, d))
 
 
 @query
-def p02_scanned_kinds(s: SparkSession, d: str) -> DataFrame:
+def cls02_scanned_kinds(s: SparkSession, d: str) -> DataFrame:
     return structure.classify_scanned(scanned(s, d))
 
 
 @query
-def p03_chunk_types(s: SparkSession, d: str) -> DataFrame:
+def cls03_chunk_types(s: SparkSession, d: str) -> DataFrame:
     return blocks(s, d).select(chunking.chunk_type(F.col("block_type")).alias("chunk_type")).groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
 @query
-def p07_font_sizes(s: SparkSession, d: str) -> DataFrame:
+def cls07_font_sizes(s: SparkSession, d: str) -> DataFrame:
     return blocks(s, d).select("doc_id", "block_id", layout.font_size(F.col("style_metadata.avg_font_size"), F.col("style_metadata.max_font_size")).alias("size"))
 
 
 @query
-def p08_clipped(s: SparkSession, d: str) -> DataFrame:
+def cls08_clipped(s: SparkSession, d: str) -> DataFrame:
     box = layout.clipped("bbox")
     return blocks(s, d).where("bbox is not null").select("doc_id", "block_id", box["x0"].alias("x0"), box["y0"].alias("y0"), box["x1"].alias("x1"), box["y1"].alias("y1"))
 
@@ -358,13 +358,13 @@ def v02_chunk_errors(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def p04_complexity(s: SparkSession, d: str) -> DataFrame:
+def cls04_complexity(s: SparkSession, d: str) -> DataFrame:
     rated = complexity.assess(jobs(s, d).select("id", F.col("text").alias("source_text")))
     return rated.select("id", "n_chars", "notes", "rare", F.round("score", 9).alias("score"), "risks", "tier")
 
 
 @query
-def p05_tiers(s: SparkSession, d: str) -> DataFrame:
+def cls05_tiers(s: SparkSession, d: str) -> DataFrame:
     profiles = table(s, d, "economy_profiles").select(F.col("name").alias("profile_name"), "tier_b_threshold", "tier_c_threshold")
     rows = jobs(s, d).select("id", "profile_name", F.col("text").alias("source_text")).join(F.broadcast(profiles), "profile_name")
     return complexity.assess(rows, F.col("tier_b_threshold"), F.col("tier_c_threshold")).groupBy("profile_name", "tier").agg(F.count("*").alias("n"))
@@ -555,6 +555,25 @@ def s18_output_states(s: SparkSession, d: str) -> DataFrame:
     return raw.select(readers.output_state(cut, ["schema_version", "status"]).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query
+def c05_context(s: SparkSession, d: str) -> DataFrame:
+    return context.package(_texts(s, d), table(s, d, "glossary"), tm(s, d))
+
+
+@query
+def cls10_payload_flags(s: SparkSession, d: str) -> DataFrame:
+    raw = outputs(s, d).select("id", F.to_json(F.struct(F.transform(F.coalesce("errors", F.array().cast("array<string>")), lambda e: F.struct(F.lit("High").alias("severity"), e.alias("message"))).alias("issues"), (F.col("status") == "ok").alias("qa_passed"))).alias("json"))
+    return context.payload_flags(raw)
+
+
+@query
+def j18_page_notes(s: SparkSession, d: str) -> DataFrame:
+    b = blocks(s, d).where("block_type = 'footnote_body'")
+    source = b.select("doc_id", "page_num", "block_id", "text", F.regexp_extract(X.text("text"), r"^\s*(\[?\d{1,3}\]?|\d{1,3}[.)])\s", 1).alias("marker"))
+    said = extracted(s, d).where("block_type = 'footnote_body'").select("doc_id", "page_num", "block_id", "text")
+    return context.page_notes(said, source)
+
+
 # Layout
 
 
@@ -570,6 +589,11 @@ def w13_pages(s: SparkSession, d: str) -> DataFrame:
     return layout.paginate(b.select("doc_id", "ord", F.col("block_type").alias("kind"), "text"))
 
 
+@query
+def a16_page_metrics(s: SparkSession, d: str) -> DataFrame:
+    return w13_pages(s, d).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_body").alias("n_body"), F.sum("n_notes").alias("n_notes"), F.sum(F.length("body")).alias("n_chars"))
+
+
 @query
 def w14_widows(s: SparkSession, d: str) -> DataFrame:
     n = F.floor(F.length(X.text("text")) / 60).cast("int")

@@ -127,19 +127,19 @@ g AS (SELECT doc_id, page_num, count(*) FILTER (WHERE txt) AS n, count(*) FILTER
 w AS (SELECT x.*, coalesce(n >= 8 AND nl >= 3 AND nr >= 3 AND least(lmax, rmax) > greatest(lmin, rmin), false) AS two_columns FROM x JOIN g USING (doc_id, page_num))
 SELECT doc_id, block_id, two_columns, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY CASE WHEN two_columns AND c >= 595.0 * 0.5 THEN 1 ELSE 0 END, y DESC, {LEFT}, block_id) AS place FROM w"""
 TITLED = r"NOT regexp_matches(t, '(?:^|[^\p{L}])\p{Ll}') AND NOT regexp_matches(t, '\p{L}\p{Lu}')"
-SQL["p01_line_kinds"] = f"""WITH {E}, x AS (SELECT *, {strip('text')} AS t, {SIZE} AS size FROM e WHERE block_type <> 'image_anchor'),
+SQL["cls01_line_kinds"] = f"""WITH {E}, x AS (SELECT *, {strip('text')} AS t, {SIZE} AS size FROM e WHERE block_type <> 'image_anchor'),
 m AS (SELECT doc_id, page_num, median(size) AS m FROM x WHERE size > 0 GROUP BY 1, 2),
 y AS (SELECT x.*, coalesce(m, 10.0) AS md, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY {TOP} DESC, {LEFT}, block_id) - 1 AS flow FROM x LEFT JOIN m USING (doc_id, page_num)),
 z AS (SELECT *, CASE WHEN regexp_matches(t, '{NOTE_MARKER}') THEN 1 WHEN bbox IS NOT NULL AND bbox.y0 <= 842.0 * 0.22 AND regexp_matches(t, '{NOTE_BODY}') THEN 2 WHEN regexp_matches(t, '{CAPTION}') THEN 3
   WHEN md > 0 AND size >= md * 1.25::DOUBLE AND length(t) <= 120 THEN 4 WHEN flow <= 1 AND length(t) <= 80 AND {TITLED} THEN 5 WHEN length(t) < 5 THEN 6 ELSE 7 END AS r FROM y)
 SELECT doc_id, block_id, ['footnote_marker','footnote_body','caption','heading','heading','paragraph','paragraph'][r] AS kind, ([0.55,0.8,0.85,0.88,0.6,0.55,0.78][r])::DOUBLE AS confidence FROM z"""
-SQL["p02_scanned_kinds"] = f"""WITH {O}, x AS (SELECT *, {strip('text')} AS t FROM o) SELECT doc_id, block_id, CASE WHEN t = '' THEN 'paragraph' WHEN regexp_matches(t, '{CAPTION}') THEN 'caption'
+SQL["cls02_scanned_kinds"] = f"""WITH {O}, x AS (SELECT *, {strip('text')} AS t FROM o) SELECT doc_id, block_id, CASE WHEN t = '' THEN 'paragraph' WHEN regexp_matches(t, '{CAPTION}') THEN 'caption'
   WHEN bbox[2] <= 842.0 * 0.22 AND regexp_matches(t, '{NOTE_BODY}') THEN 'footnote_body' WHEN bbox[4] >= 842.0 * 0.84 AND length(t) <= 100 THEN 'heading' ELSE 'paragraph' END AS kind FROM x"""
 CHUNK = "CASE WHEN block_type = 'paragraph' THEN 'paragraph_group' WHEN block_type IN ('heading','caption') THEN block_type WHEN block_type IN ('footnote_body','footnote_marker') THEN 'footnote' ELSE 'auxiliary' END"
-SQL["p03_chunk_types"] = f"WITH {B} SELECT {CHUNK} AS chunk_type, count(*) AS n FROM b GROUP BY 1"
-SQL["p07_font_sizes"] = f"""WITH {B}, s AS (SELECT doc_id, block_id, coalesce(CASE WHEN style_metadata.avg_font_size > 0 THEN style_metadata.avg_font_size END, CASE WHEN style_metadata.max_font_size > 0 THEN style_metadata.max_font_size END) AS s FROM b)
+SQL["cls03_chunk_types"] = f"WITH {B} SELECT {CHUNK} AS chunk_type, count(*) AS n FROM b GROUP BY 1"
+SQL["cls07_font_sizes"] = f"""WITH {B}, s AS (SELECT doc_id, block_id, coalesce(CASE WHEN style_metadata.avg_font_size > 0 THEN style_metadata.avg_font_size END, CASE WHEN style_metadata.max_font_size > 0 THEN style_metadata.max_font_size END) AS s FROM b)
 SELECT doc_id, block_id, CASE WHEN s IS NULL THEN 10.0::DOUBLE ELSE greatest(8.0, least(s, 18.0)) END AS size FROM s"""
-SQL["p08_clipped"] = f"""WITH {B}, x AS (SELECT doc_id, block_id, greatest(0.0, bbox.x0) + 1.5 AS a, greatest(0.0, bbox.y0) + 1.5 AS b, least(595.0, bbox.x1) - 1.5 AS c, least(842.0, bbox.y1) - 1.5 AS d FROM b WHERE bbox IS NOT NULL)
+SQL["cls08_clipped"] = f"""WITH {B}, x AS (SELECT doc_id, block_id, greatest(0.0, bbox.x0) + 1.5 AS a, greatest(0.0, bbox.y0) + 1.5 AS b, least(595.0, bbox.x1) - 1.5 AS c, least(842.0, bbox.y1) - 1.5 AS d FROM b WHERE bbox IS NOT NULL)
 SELECT doc_id, block_id, CASE WHEN c > a AND d - b > 2 THEN a END AS x0, CASE WHEN c > a AND d - b > 2 THEN b END AS y0, CASE WHEN c > a AND d - b > 2 THEN c END AS x1, CASE WHEN c > a AND d - b > 2 THEN d END AS y1 FROM x"""
 SQL["a01_page_sizes"] = f"""WITH {B}, p AS (SELECT doc_id, page_num, round(max(bbox.x1), 1) AS width, round(max(bbox.y1), 1) AS height FROM b WHERE bbox IS NOT NULL GROUP BY 1, 2)
 SELECT width, height, count(*) AS n FROM p GROUP BY 1, 2 ORDER BY n DESC, min((doc_id, page_num)) LIMIT 5"""
@@ -212,8 +212,8 @@ sc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(n_chars / 1800.0
   concat_ws(',', CASE WHEN notes > 0 THEN 'footnote_markers' END, CASE WHEN rare >= 3 THEN 'terminology_dense' END, CASE WHEN dg + fm >= 0.12::DOUBLE THEN 'numeric_or_formula_dense' END, CASE WHEN li >= 0.25::DOUBLE OR tb THEN 'list_or_table_structure' END, CASE WHEN odd THEN 'layout_sensitive' END) AS risks FROM fe)"""
 
 
-SQL["p04_complexity"] = f"WITH {J}, {assess('j', 'text', 'false', rare('text'))} SELECT id, n_chars, notes, rare, round(score, 9) AS score, risks, CASE WHEN score >= 0.68::DOUBLE THEN 'C' WHEN score >= 0.34::DOUBLE THEN 'B' ELSE 'A' END AS tier FROM sc"
-SQL["p05_tiers"] = f"WITH {J}, {assess('j', 'text', 'false', rare('text'))} SELECT profile_name, CASE WHEN score >= tier_c_threshold THEN 'C' WHEN score >= tier_b_threshold THEN 'B' ELSE 'A' END AS tier, count(*) AS n FROM sc JOIN economy_profiles ON name = profile_name GROUP BY 1, 2"
+SQL["cls04_complexity"] = f"WITH {J}, {assess('j', 'text', 'false', rare('text'))} SELECT id, n_chars, notes, rare, round(score, 9) AS score, risks, CASE WHEN score >= 0.68::DOUBLE THEN 'C' WHEN score >= 0.34::DOUBLE THEN 'B' ELSE 'A' END AS tier FROM sc"
+SQL["cls05_tiers"] = f"WITH {J}, {assess('j', 'text', 'false', rare('text'))} SELECT profile_name, CASE WHEN score >= tier_c_threshold THEN 'C' WHEN score >= tier_b_threshold THEN 'B' ELSE 'A' END AS tier, count(*) AS n FROM sc JOIN economy_profiles ON name = profile_name GROUP BY 1, 2"
 HINTED = f"h AS (SELECT *, ({distinct_folded('hh')})[1:12] AS hints FROM (SELECT *, {hints('ft')} AS hh FROM (SELECT *, {fold('source_text')} AS ft FROM k)))"
 RARE_H = f"CASE WHEN len(hints) > 0 THEN len(list_distinct(list_transform(hints, lambda v: lower(v)))) ELSE {rare('source_text')} END"
 SQL["c02_routing"] = f"""WITH RECURSIVE {CHUNKS}, {HINTED}, {assess('h', 'source_text', "chunk_type <> 'paragraph_group'", RARE_H)}
@@ -320,3 +320,9 @@ SQL["x27_prompts"] = f"WITH {J} SELECT id AS job_id, 'From ' || src || ' to ' ||
 SQL["a14_run_summary"] = f"WITH {A} SELECT source, count(*) AS n_jobs, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE {strip('translated_text')} = '') AS n_empty, sum(len(coalesce(errors, [])))::BIGINT AS n_errors FROM a GROUP BY 1"
 SQL["w14_widows"] = "WITH n AS (SELECT doc_id, floor(length(coalesce(text,'')) / 60)::INT AS n FROM documents), c AS (SELECT doc_id, n, CASE WHEN n - 7 < 2 THEN n - 2 ELSE 7 END AS c FROM n) SELECT doc_id, CASE WHEN n <= 7 THEN n WHEN c < 2 THEN CASE WHEN n < 4 THEN 0 ELSE 2 END ELSE c END AS lines_kept FROM c"
 SQL["ext_event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
+SQL["cls10_payload_flags"] = f"""WITH {A}, i AS (SELECT id, unnest(errors) AS e FROM a) SELECT id, 'semantic_issue' AS rule_id, 'high' AS severity, coalesce(e, '') AS message FROM i
+UNION ALL SELECT id, 'semantic_failed', 'medium', '' FROM a WHERE status IS DISTINCT FROM 'ok' AND len(coalesce(errors, [])) = 0"""
+TYPESET = SQL["x03_typeset"].split(" block_id, ")[1].split(" AS text")[0]
+SQL["j18_page_notes"] = rf"""WITH {B}, {E}, s AS (SELECT doc_id, page_num, block_id, {TYPESET} AS text FROM e WHERE block_type = 'footnote_body'), t AS (SELECT * FROM s WHERE text <> ''),
+r AS (SELECT doc_id, page_num, block_id, {TYPESET} AS tt, trim(regexp_extract(coalesce(text,''), '^\s*(\[?\d{{1,3}}\]?|\d{{1,3}}[.)])\s', 1)) AS m FROM b WHERE block_type = 'footnote_body')
+SELECT * FROM t UNION ALL SELECT doc_id, page_num, block_id, concat_ws(' ', nullif(m, ''), tt) FROM r WHERE tt <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = r.doc_id AND t.block_id = r.block_id)"""
