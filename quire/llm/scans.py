@@ -36,6 +36,7 @@ FIGURES = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "O": "0", "o":
 MARKS = "-‐‑¬­"
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(rf"([^\W\d_]+)([{MARKS}])[ \t]*(?:\n\s*([^\W\d_]+)|\s*$)")
+_HYPHEN = re.compile("[-‐‑]")
 _COMPOUND = re.compile(r"(?<![\w-])([^\W\d_]+)[-‐‑]([^\W\d_]+)(?![\w-])")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _NUMBER = r"[0-9lIOoSBZ|]{1,5}|[ivxlc]{1,7}"
@@ -139,9 +140,12 @@ def distance(read: str, true: str, most: float = 2.0) -> float:
     return row[n][m]
 
 
+_HAS_MARK = re.compile(rf"[{MARKS}][ \t]*(?:\n|$)")
+
+
 def _joined(text: str) -> str:
     """A block without its breaks: nothing is counted from words that a line end breaks."""
-    return _BROKEN.sub(" ", text)
+    return _BROKEN.sub(" ", text) if _HAS_MARK.search(text) else text
 
 
 def pages(ocr: DataFrame) -> DataFrame:
@@ -228,7 +232,7 @@ def page_furniture(paged: DataFrame, least_pages: int = 3, least_share: float =
 
 def _rejoined(text: str) -> list[str]:
     """The words that line ends break within the text, in one piece."""
-    return [m[1] + m[3] for m in _BROKEN.finditer(text) if m[3]]
+    return [m[1] + m[3] for m in _BROKEN.finditer(text) if m[3]] if _HAS_MARK.search(text) else []
 
 
 def _counts(clean: bool):
@@ -247,7 +251,8 @@ def _counts(clean: bool):
                     broken.update(_rejoined(low))
                     low = _joined(low)
                 total.update(_WORD.findall(low))
-                total.update(f"{a}-{b}" for a, b in _COMPOUND.findall(low))
+                if _HYPHEN.search(low):
+                    total.update(f"{a}-{b}" for a, b in _COMPOUND.findall(low))
             if len(total) > 400_000:
                 yield _table(total, broken, clean)
                 total, broken = Counter(), Counter()
@@ -372,7 +377,7 @@ def _breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if first and open_left:
                     rows.append((doc, page, open_left[0], open_left[1], open_left[2], first, False))
                     open_left = None
-                for m in _BROKEN.finditer(text):
+                for m in _BROKEN.finditer(text) if _HAS_MARK.search(text) else ():
                     left, mark, right = m[1].lower(), m[2], (m[3] or "").lower()
                     if right:
                         rows.append((doc, page, b["block_id"], left, mark, right, False))
