@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..session import cut
 from .ordered import neighbours, running
 from .structure import ORDER
 
@@ -28,11 +29,12 @@ def pack(blocks: DataFrame, max_chars: int = 1200, max_blocks: int = 8) -> DataF
     (one more for the line end between two) or ``max_blocks``; other blocks are chunks of their own.
     Runs of paragraphs are found first, with the two-level order of the book; only a run is folded.
     """
-    base = blocks.select("doc_id", "block_id", "page_num", "reading_order", "block_type", F.coalesce("section_id", F.lit("section-unknown")).alias("chapter_id"), F.length(X.text("text")).alias("n"))
+    # The narrow rows of the order are used several times over; they are kept once.
+    base = cut(blocks.select("doc_id", "block_id", "page_num", "reading_order", "block_type", F.coalesce("section_id", F.lit("section-unknown")).alias("chapter_id"), F.length(X.text("text")).alias("n")))
     marked = base.withColumn("run_key", F.when(F.col("block_type") == "paragraph", F.col("chapter_id")))
     near = neighbours(marked, "doc_id", "page_num", ORDER, "run_key", "run_before", "_after").drop("_after")
     starts = (F.col("run_key").isNull() | ~F.col("run_key").eqNullSafe(F.col("run_before"))).cast("int")
-    runs = running(near, "doc_id", "page_num", ORDER, starts, "run")
+    runs = cut(running(near, "doc_id", "page_num", ORDER, starts, "run"))
     single = runs.where("block_type <> 'paragraph'").select("doc_id", "block_id", F.lit(1).alias("opens"))
     members = runs.where("block_type = 'paragraph'").groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("page_num", "reading_order", "block_id", "n"))).alias("m"))
 
@@ -46,7 +48,7 @@ def pack(blocks: DataFrame, max_chars: int = 1200, max_blocks: int = 8) -> DataF
     zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("c"), F.array().cast("array<string>").alias("o"))
     opened = members.select("doc_id", F.explode(F.aggregate("m", zero, step, lambda s: s["o"])).alias("block_id"), F.lit(1).alias("opens"))
     placed = base.join(single.unionByName(opened), ["doc_id", "block_id"], "left")
-    return running(placed, "doc_id", "page_num", ORDER, F.coalesce("opens", F.lit(0)), "chunk_no").drop("opens", "n")
+    return cut(running(placed, "doc_id", "page_num", ORDER, F.coalesce("opens", F.lit(0)), "chunk_no").drop("opens", "n"))
 
 
 def chunks(blocks: DataFrame, max_chars: int = 1200, max_blocks: int = 8, most_hints: int = 12) -> DataFrame:
