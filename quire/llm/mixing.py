@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import cut, spread
 from .text import words
@@ -241,7 +242,8 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, **options: float) -
     """Per domain: source, weight, max_repeats, n_docs, n_tokens (repeats counted), share (of all selected tokens)."""
     chosen = mixture(documents, targets, **options)
     sums = chosen.groupBy(F.col("domain").alias("source")).agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"))
-    everything = sums.agg(F.sum("n_tokens").alias("all_tokens"))
-    rows = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).join(sums, "source", "left").crossJoin(F.broadcast(everything))
+    rows = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).join(sums, "source", "left")
     n = F.coalesce("n_tokens", F.lit(0))
+    # One row per domain: a window over all of them is small.
+    rows = rows.withColumn("all_tokens", F.sum("n_tokens").over(W.partitionBy(F.lit(0))))
     return rows.select("source", "weight", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), n.alias("n_tokens"), (n / F.col("all_tokens")).alias("share"))
