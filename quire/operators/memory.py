@@ -142,11 +142,13 @@ def lookup(table: DataFrame, columns: list[str], query: str, most: int, order: l
 
 def style_rules(texts: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
     """id, rule, coverage, place: rules by the share of their tokens in the text; a rule without any only if first."""
-    words = F.array_distinct(X.tokens("rule"))
-    listed = rules.select("ord", "rule", words.alias("w"))
-    base = texts.select("id", F.array_distinct(X.tokens("text")).alias("t"))
-    cover = F.size(F.array_intersect("w", "t")) / F.greatest(F.lit(1), F.size("w"))
-    scored = base.join(F.broadcast(listed), F.lit(True)).select("id", "ord", "rule", cover.alias("coverage"))
+    listed = bounded(rules.select("ord", "rule", F.array_distinct(X.tokens("rule")).alias("w")).orderBy("ord"), 10_000, "the rules")
+    if not listed:
+        return texts.sparkSession.createDataFrame([], "id string, rule string, coverage double, place int")
+    all_of = F.array(*[F.struct(F.lit(r.ord).alias("ord"), F.lit(r.rule).alias("rule"), F.array(*[F.lit(x) for x in r.w]).cast("array<string>").alias("w")) for r in listed])
+    base = texts.select("id", F.array_distinct(X.tokens("text")).alias("t"), F.explode(all_of).alias("r"))
+    cover = F.size(F.array_intersect("r.w", "t")) / F.greatest(F.lit(1), F.size("r.w"))
+    scored = base.select("id", "r.ord", "r.rule", cover.alias("coverage"))
     w = W.partitionBy("id").orderBy(F.desc("coverage"), "ord")
     return scored.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) & ((F.col("coverage") > 0) | (F.col("place") == 1))).select("id", "rule", "coverage", "place")
 
