@@ -41,7 +41,7 @@ _COMPOUND = re.compile(r"(?<![\w-])([^\W\d_]+)[-‐‑]([^\W\d_]+)(?![\w-])")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _NUMBER = r"[0-9lIOoSBZ|]{1,5}|[ivxlc]{1,7}"
 _LONE = re.compile(rf"[\s—–\-\[(·|.]*(?:page|p\.|стр\.|с\.|seite)?\s*({_NUMBER})[\s—–\-\])·|.]*", re.IGNORECASE)
-_LEAD = re.compile(rf"({_NUMBER})\s*(?:[|·—–-]\s*)?(?=[^\W\d_])")
+_LEAD = re.compile(rf"({_NUMBER})(?:\s*[|·—–-]\s*|\s+)(?=[^\W\d_])")
 _TRAIL = re.compile(rf"(?:(?:[|·—–-]\s*)|\s)({_NUMBER})$")
 _CAPTION = re.compile(r"(?:figure|fig\.|table|рис\.|рисунок|табл\.|таблица)\s", re.IGNORECASE)
 _LONGEST_LINE = 90
@@ -225,6 +225,9 @@ def page_furniture(paged: DataFrame, least_pages: int = 3, least_share: float =
     recurs = F.coalesce((F.col("on_numbered") >= 2), F.lit(False))
     nearly = F.coalesce(F.col("value").isNotNull() & off & recurs, F.lit(False))
     bare = F.coalesce((F.col("on_pages") >= least_pages) & (F.col("on_pages") >= least_share * F.col("n_pages")) & (F.col("on_numbered") * 2 < F.col("on_pages")), F.lit(False))
+    # A line of running text may end with the number of its page by chance: a running line recurs, or stands apart.
+    apart = F.col("lone") | F.coalesce(F.col("on_pages") >= 2, F.lit(False)) | F.col("whole") | F.col("top")
+    exact = exact & apart
     running = ~F.col("lone") & (exact | nearly | bare)
     numbered = exact | nearly & ~F.col("lone")
     return known.select("doc_id", "page_num", "block_id", "line", running.alias("running"), numbered.alias("numbered"), (numbered & (F.col("misread") | nearly)).alias("misread")).where("running or numbered")
