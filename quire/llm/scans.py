@@ -312,7 +312,10 @@ def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
             keep = cost <= most
             yield pd.DataFrame({"word": f.word[keep], "fix": f.fix[keep], "cost": cost[keep], "n_fix": f.n_fix[keep]})
 
-    ranked = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint").join(clean, "fix", "left").withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy(F.desc_nulls_last("clean"), "cost", F.desc("n_fix"), "fix")))
+    judged = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint").join(clean, "fix", "left").withColumn("clean", F.coalesce("clean", F.lit(False)))
+    # Words that only scans have correct nothing that a word of clean texts can correct.
+    best = judged.withColumn("any_clean", F.max("clean").over(W.partitionBy("word"))).where("clean = any_clean")
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix")))
     return ranked.where("rank <= 3").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fix"))), lambda x: x["fix"]).alias("fixes"))
 
 
@@ -366,7 +369,10 @@ def _odd_words(bitmap: np.ndarray):
 
 
 def _breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words broken at line ends and block ends; ``head`` rows carry the word that a page goes on with."""
+    """Words broken at line ends and block ends; ``head`` rows carry the word that a page goes on with.
+
+    ``other`` is the block of the right part.
+    """
     for f in frames:
         rows = []
         for doc, page, blocks in zip(f.doc_id, f.page_num, f.blocks):
@@ -376,21 +382,21 @@ def _breaks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = b["text"]
                 first = _first_word(text)
                 if first and head is None:
-                    head = first
+                    head = (first, b["block_id"])
                 if first and open_left:
-                    rows.append((doc, page, open_left[0], open_left[1], open_left[2], first, False))
+                    rows.append((doc, page, *open_left, first, b["block_id"], False))
                     open_left = None
                 for m in _BROKEN.finditer(text) if _HAS_MARK.search(text) else ():
                     left, mark, right = m[1].lower(), m[2], (m[3] or "").lower()
                     if right:
-                        rows.append((doc, page, b["block_id"], left, mark, right, False))
+                        rows.append((doc, page, b["block_id"], left, mark, right, b["block_id"], False))
                     else:
                         open_left = (b["block_id"], left, mark)
             if open_left:
-                rows.append((doc, page + 1, open_left[0], open_left[1], open_left[2], "", False))
+                rows.append((doc, page + 1, *open_left, "", "", False))
             if head:
-                rows.append((doc, page, "", "", "", head, True))
-        yield pd.DataFrame(rows, columns=["doc_id", "page_num", "block_id", "left", "mark", "right", "head"])
+                rows.append((doc, page, "", "", "", *head, True))
+        yield pd.DataFrame(rows, columns=["doc_id", "page_num", "block_id", "left", "mark", "right", "other", "head"])
 
 
 def _first_word(text: str) -> str | None:
@@ -408,21 +414,33 @@ def _first_word(text: str) -> str | None:
     return None
 
 
-def broken_words(paged: DataFrame, words: DataFrame) -> DataFrame:
-    """Words broken with a mark at a line or block end: doc_id, block_id, left, right, mark, real.
+def breaks(paged: DataFrame) -> DataFrame:
+    """doc_id, block_id, left, mark, right, other: words broken at line and block ends, completed from the next page where it ends one."""
+    found = cut(paged.mapInPandas(_breaks, "doc_id string, page_num int, block_id string, left string, mark string, right string, other string, head boolean"))
+    heads = found.where("head").groupBy("doc_id", "page_num").agg(F.first(F.struct("right", "other")).alias("next"))
+    rows = found.where("not head").join(heads, ["doc_id", "page_num"], "left")
+    bare = F.col("right") == ""
+    return rows.select("doc_id", "block_id", "left", "mark", F.when(bare, F.coalesce("next.right", F.lit(""))).otherwise(F.col("right")).alias("right"), F.when(bare, F.coalesce("next.other", F.lit(""))).otherwise(F.col("other")).alias("other"))
 
-    ``real`` is false where the corpus writes the two parts with a hyphen of its own and not as
-    one word. A word broken at the end of a page is completed from the next page.
-    """
-    found = paged.mapInPandas(_breaks, "doc_id string, page_num int, block_id string, left string, mark string, right string, head boolean")
-    found = cut(found)
-    heads = found.where("head").groupBy("doc_id", "page_num").agg(F.first("right").alias("next"))
-    breaks = found.where("not head").join(heads, ["doc_id", "page_num"], "left").withColumn("right", F.when(F.col("right") == "", F.coalesce("next", F.lit(""))).otherwise(F.col("right"))).drop("next", "head", "page_num")
+
+def broken_words(broken: DataFrame, words: DataFrame) -> DataFrame:
+    """``breaks`` with ``real``: false where the corpus writes the two parts with a hyphen of its own and not as one word."""
     count = words.select("word", (F.col("n_clean") + F.col("n_scan")).alias("n"))
-    whole = breaks.select("left", "right").distinct().withColumns({"as_one": F.concat("left", "right"), "as_two": F.concat("left", F.lit("-"), "right")})
+    whole = broken.select("left", "right").distinct().withColumns({"as_one": F.concat("left", "right"), "as_two": F.concat("left", F.lit("-"), "right")})
     counted = whole.join(count.toDF("as_one", "n_one"), "as_one", "left").join(count.toDF("as_two", "n_two"), "as_two", "left")
     real = (F.coalesce("n_one", F.lit(0)) >= F.coalesce("n_two", F.lit(0))) | (F.col("right") == "")
-    return breaks.join(counted.select("left", "right", real.alias("real")), ["left", "right"])
+    return broken.join(counted.select("left", "right", real.alias("real")), ["left", "right"])
+
+
+def _apart(broken: DataFrame) -> DataFrame:
+    """Breaks whose parts stand in two blocks, with the whole word."""
+    return broken.where((F.col("right") != "") & (F.col("other") != F.col("block_id"))).withColumn("word", F.concat("left", "right"))
+
+
+def _with_broken(words: DataFrame, broken: DataFrame) -> DataFrame:
+    """The lexicon with the words that block ends break."""
+    extra = _apart(broken).select("word").distinct().join(words, "word", "left_anti")
+    return words.unionByName(extra.select("word", F.lit(0).cast("bigint").alias("n_clean"), F.lit(0).cast("bigint").alias("n_scan"), F.lit(1).cast("bigint").alias("n_broken")))
 
 
 def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -435,16 +453,20 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     paged = cut(pages(ocr))
     words = cut(lexicon(ocr, blocks))
     furniture = cut(page_furniture(paged))
-    wrong = cut(misreadings(words))
+    broken = cut(breaks(paged))
+    wrong = cut(misreadings(_with_broken(words, broken)))
     tokens = _flat(paged).mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
     # The bitmap lets some other words through; the join settles it.
     listed = tokens.join(wrong.select("word"), "word").select("doc_id", "block_id")
     figures = tokens.where("word is null").select("doc_id", "block_id").union(furniture.where("misread").select("doc_id", "block_id"))
+    # Of a word in two blocks the part that the correction changes was misread.
+    fix = F.col("fixes")[0]
+    split = _apart(broken).join(wrong, "word").select("doc_id", F.when(F.startswith(fix, F.col("left")), F.col("other")).otherwise(F.col("block_id")).alias("block_id"))
     parts = (
-        listed.union(figures).withColumn("noise", F.lit("misread"))
+        listed.union(figures).union(split).withColumn("noise", F.lit("misread"))
         .union(furniture.where("running").select("doc_id", "block_id", F.lit("running_line").alias("noise")))
         .union(furniture.where("numbered").select("doc_id", "block_id", F.lit("page_number").alias("noise")))
-        .union(broken_words(paged, words).where("real").select("doc_id", "block_id", F.lit("hyphenation").alias("noise")))
+        .union(broken_words(broken, words).where("real").select("doc_id", "block_id", F.lit("hyphenation").alias("noise")))
     )
     return parts.distinct()
 
@@ -454,16 +476,22 @@ def _contexts(bitmap: np.ndarray):
     bits = int(len(bitmap)).bit_length() + 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
         for f in frames:
             rows = set()
-            for doc, page, blocks in zip(f.doc_id, f.page_num, f.blocks):
-                for b in blocks:
-                    tokens = _WORD.findall(_joined(b["text"]).lower())
-                    for i, t in enumerate(tokens):
+            if len(known) > 500_000:
+                known.clear()
+            for doc, page, text in zip(f.doc_id, f.page_num, f.text):
+                tokens = _WORD.findall(_joined(text).lower())
+                whole = _rejoined(text.lower())
+                for i, t in enumerate(tokens + whole):
+                    hit = known.get(t)
+                    if hit is None:
                         slot = _slot(t, bits)
-                        if bitmap[slot >> 3] >> (slot & 7) & 1:
-                            rows.add((doc, page, t, tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
-                    rows |= {(doc, page, t, "", "") for t in _rejoined(b["text"].lower())}
+                        hit = known[t] = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                    if hit:
+                        inside = i < len(tokens)
+                        rows.add((doc, page, t, tokens[i - 1] if inside and i else "", tokens[i + 1] if inside and i + 1 < len(tokens) else ""))
             yield pd.DataFrame(sorted(rows), columns=["doc_id", "page_num", "word", "before", "after"])
 
     return run
@@ -475,13 +503,19 @@ def _bigrams(bitmap: np.ndarray):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[str] = Counter()
+        known: dict[tuple[str, str], bool] = {}
         for f in frames:
             for text in f.text:
                 tokens = _WORD.findall(text.lower())
-                for pair in map(" ".join, zip(tokens, tokens[1:])):
-                    slot = _slot(pair, bits)
-                    if bitmap[slot >> 3] >> (slot & 7) & 1:
-                        total[pair] += 1
+                for pair in zip(tokens, tokens[1:]):
+                    hit = known.get(pair)
+                    if hit is None:
+                        slot = _slot(" ".join(pair), bits)
+                        hit = known[pair] = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                    if hit:
+                        total[" ".join(pair)] += 1
+            if len(known) > 1_000_000:
+                known.clear()
             if len(total) > 400_000:
                 yield pd.DataFrame({"word": list(total), "n": list(total.values())})
                 total = Counter()
@@ -496,7 +530,7 @@ def repairs(paged: DataFrame, wrong: DataFrame, texts: DataFrame) -> DataFrame:
     Among the candidates the one wins whose pairs with the words beside it are the most frequent
     in ``texts(text)``; without any such pair the first candidate does.
     """
-    seen = paged.mapInPandas(_contexts(_bitmap(wrong)), "doc_id string, page_num int, word string, before string, after string").join(wrong, "word")
+    seen = _flat(paged).mapInPandas(_contexts(_bitmap(wrong)), "doc_id string, page_num int, word string, before string, after string").join(wrong, "word")
     seen = cut(seen)
     tried = seen.where(F.size("fixes") > 1).select("doc_id", "page_num", "word", "before", "after", F.posexplode("fixes").alias("rank", "fix"))
     tried = tried.withColumns({"left": F.concat_ws(" ", "before", "fix"), "right": F.concat_ws(" ", "fix", "after")})
@@ -569,7 +603,7 @@ def paragraphs(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     fixes = repairs(paged, wrong, ocr.select("text").union(clean)).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("word", "fix")).alias("w"))
     fixes = fixes.select("doc_id", "page_num", F.col("w.word").alias("bad"), F.col("w.fix").alias("good"))
     lines = page_furniture(paged).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("block_id", "line")).alias("lines"))
-    split = broken_words(paged, words).where("not real").select("doc_id", "block_id", "left", "right")
+    split = broken_words(breaks(paged), words).where("not real").select("doc_id", "block_id", "left", "right")
     home = paged.select("doc_id", "page_num", F.explode("blocks.block_id").alias("block_id"))
     compounds = split.join(home, ["doc_id", "block_id"]).groupBy("doc_id", "page_num").agg(F.collect_set(F.struct("left", "right")).alias("compounds"))
     key = ["doc_id", "page_num"]
