@@ -95,7 +95,11 @@ def features(sentence: str, glossary: Glossary) -> tuple[set[str], set[str]]:
     loose: set[str] = set()
     for k, token in enumerate(_TOKEN.findall(sentence)):
         if token[0].isdigit():
-            firm.add("#" + token.replace(",", "."))
+            # A rendering may round: the whole part must agree, the rest counts where both texts have it.
+            whole, _, rest = token.replace(",", ".").partition(".")
+            firm.add("#" + whole)
+            if rest:
+                loose.add("#" + whole + "." + rest)
             continue
         low = token.lower()
         concept = glossary.concept(low)
