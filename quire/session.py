@@ -52,8 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a small input comes in fewer splits than there are cores.
 
-    Large inputs already have more splits than cores and pass through without a shuffle.
+    Large inputs already have more splits than cores and pass through without a shuffle. For
+    scans only: asking a plan with a shuffle for its partitions would run it.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(f"{node} " in plan or f"{node}[" in plan for node in ("Aggregate", "Join", "Window", "Sort", "Repartition", "RepartitionByExpression", "Deduplicate", "Intersect", "Except")):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
