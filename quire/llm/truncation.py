@@ -23,6 +23,7 @@ _MARKS = re.compile(r"[«»“”„()\[\]{}]|</?[A-Za-z][^<>]*(?P<markup>>?)")
 _OPENER = set(PAIRS)
 _CLOSER = {"»": "«", "”": "“", ")": "(", "]": "[", "}": "{"}
 _NOTES = re.compile(r"(?:\s*\[[\w*]{1,6}\]|\s*[¹²³⁴⁵⁶⁷⁸⁹⁰†‡*]+)+$")
+_NOTE_ENDS = frozenset("]¹²³⁴⁵⁶⁷⁸⁹⁰†‡*")
 _GROUP = re.compile(r"(?<=[.!?…])\s*\([^()]*\)$")
 _BROKEN = re.compile(r"(?:[�\ud800-\udfff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?\w{1,8})?|<[^<>]{0,80}|[ÐÑÃ])$")
 _TAIL = 400
@@ -51,7 +52,9 @@ def state(text: str | None) -> tuple[str, int, bool, int, int] | None:
     lines = sum(1 for line in bare.split("\n") if line.strip()) if "\n" in bare else bool(bare)
     tail = bare[-_TAIL:]  # what ends the text; the patterns below are anchored at its end
     broken = bool(_BROKEN.search(tail[-100:]))
-    end = _GROUP.sub("", _NOTES.sub("", tail)).rstrip()
+    end = _NOTES.sub("", tail).rstrip() if tail[-1:] in _NOTE_ENDS else tail
+    if end.endswith(")"):
+        end = _GROUP.sub("", end).rstrip()
     end = end.rstrip("”»\"'’“)] \n") or end
     if not end:
         finish = "none" if not bare else "stop"
