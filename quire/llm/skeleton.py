@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 from .text import INVISIBLE
 
 #: Look-alike letters (fixed values): each prototype and the Cyrillic and Greek letters that share
@@ -106,6 +105,6 @@ def lookalike_blocks(blocks: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def skeleton_groups(texts: DataFrame) -> DataFrame:
     """Groups of originals by equal skeleton: ``texts(id, text)`` to skeleton, n_forms, n_rows, for skeletons with two or more forms."""
-    forms = spread(texts.where("text is not null").groupBy("text").agg(F.count("*").alias("n")))
+    forms = texts.where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
     out = forms.mapInPandas(lambda frames: (f[["form", "n"]] for f in _apply(frames, {"form": "text"})), "form string, n bigint")
     return out.groupBy(F.col("form").alias("skeleton")).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows")).where("n_forms > 1")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -106,7 +106,7 @@ def anchors(documents: DataFrame, min_chars: int, k: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": np.concatenate(docs), "pos": np.concatenate(places), "hash": np.concatenate(values)})
 
     long = documents.select("doc_id", "text").where(F.length("text") >= min_chars)
-    return spread(long).mapInPandas(run, "doc_id bigint, pos int, hash bigint")
+    return long.mapInPandas(run, "doc_id bigint, pos int, hash bigint")
 
 
 def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
