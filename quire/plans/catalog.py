@@ -522,7 +522,7 @@ def u06_remaining(s: SparkSession, d: str) -> DataFrame:
 @query
 def j02_merged_answers(s: SparkSession, d: str) -> DataFrame:
     first = outputs(s, d).select("id", F.col("translated_text").alias("text"), "loaded_at")
-    later = outputs(s, d).where("source = 'codex'").select("id", F.concat(F.lit("edited "), X.text("translated_text")).alias("text"), "loaded_at")
+    later = outputs(s, d).where("source = 'lite_backend'").select("id", F.concat(F.lit("edited "), X.text("translated_text")).alias("text"), "loaded_at")
     return planning.merged_answers(first, later)
 
 

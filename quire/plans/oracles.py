@@ -313,7 +313,7 @@ bt AS (SELECT book_id, id, format('batch-{{:04d}}-', no) || CASE WHEN {SLUG.form
 SQL["w10_batches"] = f"WITH {J}, {BATCH} SELECT * FROM bt"
 SQL["a15_batch_progress"] = f"WITH {J}, {A}, {BATCH}, d AS (SELECT DISTINCT id FROM a WHERE {strip('translated_text')} <> '') SELECT book_id, batch_id, count(*) AS n_chunks, count(d.id) AS n_done, bool_and(d.id IS NOT NULL) AS completed FROM bt LEFT JOIN d USING (id) GROUP BY 1, 2"
 SQL["u06_remaining"] = f"WITH {J}, {A} SELECT id FROM j WHERE id NOT IN (SELECT id FROM a WHERE status = 'ok')"
-SQL["j02_merged_answers"] = f"""WITH {A}, u AS (SELECT id, translated_text AS text, 0 AS p FROM a UNION ALL SELECT id, 'edited ' || coalesce(translated_text,''), 1 FROM a WHERE source = 'codex'), v AS (SELECT * FROM u WHERE {strip('text')} <> '') SELECT id, arg_max(text, p) AS text FROM v GROUP BY 1"""
+SQL["j02_merged_answers"] = f"""WITH {A}, u AS (SELECT id, translated_text AS text, 0 AS p FROM a UNION ALL SELECT id, 'edited ' || coalesce(translated_text,''), 1 FROM a WHERE source = 'lite_backend'), v AS (SELECT * FROM u WHERE {strip('text')} <> '') SELECT id, arg_max(text, p) AS text FROM v GROUP BY 1"""
 SQL["h04_mock"] = f"WITH {J} SELECT id, CASE WHEN id = 'job-000000001' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN id <> 'job-000000001' THEN '[MOCK_RU] ' || coalesce(text,'') END AS target FROM j"
 SQL["r15_job_inputs"] = f"WITH {J} SELECT id AS job_id, src, length(text) AS n_chars FROM j"
 SQL["x27_prompts"] = f"WITH {J} SELECT id AS job_id, 'From ' || src || ' to ' || tgt || ' (' || coalesce(chunk_id,'') || '):' || chr(10) || coalesce(text,'') AS prompt FROM j"
