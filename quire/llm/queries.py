@@ -135,8 +135,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 SQL["p1_found"] = r"""
 WITH r AS (SELECT entry_id AS rec, source_text AS text FROM translation_memory UNION SELECT job.job_id, payload.source_text FROM job_inputs),
 w AS (SELECT rec, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT rec, hash(w[i], w[i + 1]) AS g FROM (SELECT rec, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 12)),
+b AS (SELECT DISTINCT rec, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rec, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 12)),
 n AS (SELECT rec, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT x.rec AS rec_a, y.rec AS rec_b, count(*) AS k FROM b x JOIN b y ON x.g = y.g AND x.rec < y.rec GROUP BY 1, 2)
 SELECT rec_a, rec_b FROM p JOIN n a ON a.rec = rec_a JOIN n c ON c.rec = rec_b WHERE 5 * k >= 3 * (a.n + c.n - k)
 """
+
+_WINDOWS = """w AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
+SQL["p10_found"] = f"WITH {_WINDOWS}, d AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b USING (h) WHERE a.doc_id < b.doc_id"
+SQL["p10_share"] = f"""
+WITH {_WINDOWS}, s AS (SELECT h FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w SEMI JOIN s USING (h)),
+c AS (SELECT doc_id, sum(least(300, coalesce(n - i, 300)))::INT AS k FROM p GROUP BY 1)
+SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(k, 0) AS n_shared, CASE WHEN length(coalesce(text, '')) > 0 THEN coalesce(k, 0) / length(text) ELSE 0.0 END::DOUBLE AS share FROM documents d LEFT JOIN c USING (doc_id)
+"""
