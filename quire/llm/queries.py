@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import alignment, leakage, mixing, near, pairs, scans, skeleton, spans, splitting, truncation
+from .text import INVISIBLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,3 +150,22 @@ p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
 c AS (SELECT doc_id, sum(least(300, coalesce(n - i, 300)))::INT AS k FROM p GROUP BY 1)
 SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(k, 0) AS n_shared, CASE WHEN length(coalesce(text, '')) > 0 THEN coalesce(k, 0) / length(text) ELSE 0.0 END::DOUBLE AS share FROM documents d LEFT JOIN c USING (doc_id)
 """
+
+
+def _plain_sql(x: str) -> str:
+    """Lower case without invisible characters; full-width signs and Latin ligatures as plain ones, composed."""
+    full, half = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+    x = f"translate(regexp_replace({x}, '[{INVISIBLE}]', '', 'g'), '{full}', '{half}')"
+    for one, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        x = f"replace({x}, '{one}', '{plain}')"
+    return f"regexp_extract_all(lower(nfc_normalize({x})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _phrases_sql(key: str, words: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM {words})"
+
+
+SQL["p8_found"] = f"""
+WITH d AS (SELECT doc_id, {_plain_sql("text")} AS w FROM documents), e AS (SELECT item_id, {_plain_sql("text")} AS w FROM eval_items),
+x AS ({_phrases_sql("doc_id", "d")}), y AS ({_phrases_sql("item_id", "e")}) SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (g)
+"""
