@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,3 +170,21 @@ SQL["p8_found"] = f"""
 WITH d AS (SELECT doc_id, {_plain_sql("text")} AS w FROM documents), e AS (SELECT item_id, {_plain_sql("text")} AS w FROM eval_items),
 x AS ({_phrases_sql("doc_id", "d")}), y AS ({_phrases_sql("item_id", "e")}) SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (g)
 """
+
+
+def _look_sql(x: str) -> str:
+    """The same look in SQL, as far as single signs go: for comparing with the skeletons."""
+    pairs_of = {c: p for p, those in skeleton.LOOKALIKES.items() for c in those} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
+    x = f"nfc_normalize(regexp_replace({x}, '[{INVISIBLE}]', '', 'g'))"
+    x = "translate({}, '{}', '{}')".format(x, "".join(pairs_of).replace("'", "''"), "".join(pairs_of.values()).replace("'", "''"))
+    for code in [*range(0xFB00, 0xFB05), *range(0x2160, 0x2180), 0x2026, 0x2116]:
+        x = f"replace({x}, '{chr(code)}', '{unicodedata.normalize('NFKD', chr(code))}')"
+    # Composed letters whose base has a look-alike meet in their decomposed form.
+    for base, mark, whole in (("е", "̈", "ё"), ("Е", "̈", "Ё"), ("и", "̆", "й"), ("И", "̆", "Й")):
+        x = f"replace({x}, '{whole}', '{pairs_of.get(base, base)}{mark}')"
+    return rf"trim(regexp_replace(nfc_normalize({x}), '[\p{{Z}}\t\r]+', ' ', 'g'))"
+
+
+SQL["p5_found"] = f"""
+SELECT DISTINCT b.doc_id, b.block_id FROM blocks b JOIN extracted_blocks e USING (doc_id, block_id) WHERE b.text <> e.text AND {_look_sql("b.text")} = {_look_sql("e.text")}
+"""
