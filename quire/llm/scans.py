@@ -281,42 +281,113 @@ def lexicon(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     return scanned.union(rest).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n_clean", "n_scan", "n_broken")])
 
 
-def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
-    """(word, fixes): words of the scans that are misreadings, with up to three corrections, best first.
+def corrections(words: DataFrame, most: float = 0.95) -> DataFrame:
+    """(word, fixes, counts, n_clean, n_seen): words of the scans that may be misreadings, with up to three corrections, best first.
 
     A candidate comes from the symmetric-delete index over the lexicon; it must be far more
-    frequent than the word, which no clean text has, and within ``most`` of the weighted distance:
-    up to three confusions and no other edit, so that pieces of broken words are not corrected.
+    frequent than the word and within ``most`` of the weighted distance: up to three confusions and
+    no other edit, so that pieces of broken words are not corrected. A word that no clean text has
+    is a misreading; one with ``n_clean`` > 0 must be rare in clean texts against the candidate, and
+    each of its occurrences is open (``open_readings``). ``counts`` are those of the fixes in clean texts.
     """
     worded = words.where(~F.col("word").contains("-") & F.col("word").rlike(r"\p{L}"))
-    suspects = worded.where("n_clean = 0 and n_scan + n_broken > 0 and length(word) > 1")
+    suspects = worded.where("n_scan + n_broken > 0 and length(word) > 1")
     known = worded.where("n_clean + n_scan >= 3 and length(word) > 2")
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [[xxhash.xxh64_intdigest(k) for k in delete_keys(w)] for w in f.word]
             n = [len(x) for x in found]
-            yield pd.DataFrame({"word": np.repeat(f.word.to_numpy(object), n), "n": np.repeat(f.n.to_numpy(), n), "key": np.array([k for x in found for k in x], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"word": np.repeat(f.word.to_numpy(object), n), "n": np.repeat(f.n.to_numpy(), n), "n_clean": np.repeat(f.n_clean.to_numpy(), n), "key": np.array([k for x in found for k in x], np.uint64).view(np.int64)})
 
-    schema = "word string, n bigint, key bigint"
+    schema = "word string, n bigint, n_clean bigint, key bigint"
     weight = F.greatest(F.lit(1), F.col("n_clean") + F.col("n_scan")).alias("n")
-    left = suspects.select("word", weight).mapInPandas(keys, schema)
-    right = known.select("word", weight).mapInPandas(keys, schema).toDF("fix", "n_fix", "key")
-    clean = words.where("n_clean > 0").select(F.col("word").alias("fix"), F.lit(True).alias("clean"))
-    rare = F.col("n") * 3 <= F.col("n_fix")
-    pairs = left.join(right, "key").where("word <> fix").where(rare).select("word", "n", "fix", "n_fix").distinct()
+    left = suspects.select("word", weight, "n_clean").mapInPandas(keys, schema)
+    right = known.select("word", weight, "n_clean").mapInPandas(keys, schema).toDF("fix", "n_fix", "fix_clean", "key")
+    rare = F.when(F.col("n_clean") == 0, F.col("n") * 3 <= F.col("n_fix")).otherwise(F.col("n_clean") * 3 <= F.col("fix_clean"))
+    pairs = left.join(right, "key").where("word <> fix").where(rare).select("word", "fix", "n_fix", "fix_clean").distinct()
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             cost = np.array([distance(a, b, most) for a, b in zip(f.word, f.fix)])
             keep = cost <= most
-            yield pd.DataFrame({"word": f.word[keep], "fix": f.fix[keep], "cost": cost[keep], "n_fix": f.n_fix[keep]})
+            yield pd.DataFrame({"word": f.word[keep], "fix": f.fix[keep], "cost": cost[keep], "n_fix": f.n_fix[keep], "fix_clean": f.fix_clean[keep]})
 
-    judged = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint").join(clean, "fix", "left").withColumn("clean", F.coalesce("clean", F.lit(False)))
+    judged = pairs.mapInPandas(judge, "word string, fix string, cost double, n_fix bigint, fix_clean bigint").withColumn("clean", F.col("fix_clean") > 0)
     # Words that only scans have correct nothing that a word of clean texts can correct.
     best = judged.withColumn("any_clean", F.max("clean").over(W.partitionBy("word"))).where("clean = any_clean")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix")))
-    return ranked.where("rank <= 3").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fix"))), lambda x: x["fix"]).alias("fixes"))
+    listed = ranked.where("rank <= 3").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "fix", "fix_clean"))).alias("f"))
+    return listed.join(suspects, "word").select("word", F.col("f.fix").alias("fixes"), F.col("f.fix_clean").alias("counts"), "n_clean", (F.col("n_scan") + F.col("n_broken")).alias("n_seen"))
+
+
+def misreadings(words: DataFrame, most: float = 0.95) -> DataFrame:
+    """(word, fixes): words of the scans that are misreadings wherever they stand, as no clean text has them."""
+    return corrections(words, most).where("n_clean = 0").select("word", "fixes")
+
+
+def _open_contexts(bitmap: np.ndarray):
+    """Occurrences of words that the bitmap holds with the words beside them: doc_id, page_num, block_id, word, before, after."""
+    bits = int(len(bitmap)).bit_length() + 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for f in frames:
+            rows = set()
+            if len(known) > 500_000:
+                known.clear()
+            for doc, page, block, text in zip(f.doc_id, f.page_num, f.block_id, f.text):
+                low = text.lower()
+                tokens = _WORD.findall(_joined(low))
+                whole = _rejoined(low)
+                for i, t in enumerate(tokens + whole):
+                    hit = known.get(t)
+                    if hit is None:
+                        slot = _slot(t, bits)
+                        hit = known[t] = bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+                    if hit:
+                        inside = i < len(tokens)
+                        rows.add((doc, page, block, t, tokens[i - 1] if inside and i else "", tokens[i + 1] if inside and i + 1 < len(tokens) else ""))
+            yield pd.DataFrame(sorted(rows), columns=["doc_id", "page_num", "block_id", "word", "before", "after"])
+
+    return run
+
+
+def open_readings(paged: DataFrame, doubtful: DataFrame, words: DataFrame, clean: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_num, block_id, word, before, after, fix): occurrences of words of clean texts that are misread all the same.
+
+    ``doubtful`` are the ``corrections`` with ``n_clean`` > 0. The odds that an occurrence is misread are those of
+    the scans' surplus over the rate of the clean texts, times how much likelier the words beside
+    it are next to the fix than next to the word, by the word pairs of ``clean(text)``; each side
+    is smoothed with the frequency of the neighbour. ``apart(doc_id, block_id, word)`` adds occurrences without neighbours.
+    """
+    size = words.agg(F.sum("n_clean").alias("c"), F.sum(F.col("n_scan") + F.col("n_broken")).alias("s")).head()
+    total, share = float(size.c or 1), float(size.s or 0) / float(size.c or 1)
+    key = ["doc_id", "page_num", "block_id", "word", "before", "after"]
+    found = _flat(paged).mapInPandas(_open_contexts(_bitmap(doubtful)), "doc_id string, page_num int, block_id string, word string, before string, after string")
+    if apart is not None:
+        found = found.unionByName(apart.select("doc_id", F.lit(None).cast("int").alias("page_num"), "block_id", "word", F.lit("").alias("before"), F.lit("").alias("after")))
+    seen = cut(found.join(doubtful, "word"))
+    tried = seen.select(*key, "n_clean", "n_seen", F.explode(F.arrays_zip("fixes", "counts")).alias("z")).select(*key, "n_clean", "n_seen", F.col("z.fixes").alias("fix"), F.col("z.counts").alias("n_fix"))
+    side = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("key"))
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    roles = {"wl": pair("before", "word"), "wr": pair("word", "after"), "fl": pair("before", "fix"), "fr": pair("fix", "after"), "l": F.col("before"), "r": F.col("after")}
+    asked = tried.select("*", F.explode(F.array(*[side(k, x) for k, x in roles.items()])).alias("q")).select(*tried.columns, "q.role", "q.key")
+    pairs = asked.where("length(role) = 2").select(F.col("key").alias("word")).distinct()
+    counted = spread(clean.where("text is not null").select("text")).mapInPandas(_bigrams(_bitmap(pairs)), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    every = counted.unionByName(words.select("word", F.col("n_clean").alias("n"))).toDF("key", "n")
+    # Words and pairs are told apart by the blank.
+    got = asked.join(every, "key", "left").groupBy(*tried.columns).agg(*[F.max(F.when(F.col("role") == k, F.coalesce("n", F.lit(0)))).alias(k) for k in roles])
+
+    def likelier(fix: str, word: str, beside: str, name: str):
+        rate = (F.col(beside) + 0.5) / total
+        ratio = F.log((F.col(fix) + rate) / (F.col("n_fix") + 1)) - F.log((F.col(word) + rate) / (F.col("n_clean") + 1))
+        return F.when(F.col(name) == "", 0.0).otherwise(ratio)
+
+    due = F.col("n_clean") * share
+    prior = F.log(F.greatest((F.col("n_seen") - due) / due, 0.01 * F.col("n_fix") / F.col("n_clean")))
+    odds = prior + likelier("fl", "wl", "l", "before") + likelier("fr", "wr", "r", "after")
+    return got.withColumn("odds", odds).where("odds > 0").groupBy(*key).agg(F.max_by("fix", F.struct("odds", "n_fix", "fix")).alias("fix"))
 
 
 def _figures_read(token: str) -> bool:
@@ -454,7 +525,9 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     words = cut(lexicon(ocr, blocks))
     furniture = cut(page_furniture(paged))
     broken = cut(breaks(paged))
-    wrong = cut(misreadings(_with_broken(words, broken)))
+    lexical = _with_broken(words, broken)
+    judged = cut(corrections(lexical))
+    wrong, doubtful = judged.where("n_clean = 0").select("word", "fixes"), judged.where("n_clean > 0")
     tokens = _flat(paged).mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
     # The bitmap lets some other words through; the join settles it.
     listed = tokens.join(wrong.select("word"), "word").select("doc_id", "block_id")
@@ -462,8 +535,16 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     # Of a word in two blocks the part that the correction changes was misread.
     fix = F.col("fixes")[0]
     split = _apart(broken).join(wrong, "word").select("doc_id", F.when(F.startswith(fix, F.col("left")), F.col("other")).otherwise(F.col("block_id")).alias("block_id"))
+    misread = listed.union(figures).union(split)
+    if not doubtful.isEmpty():
+        clean = blocks.where(~F.coalesce(F.array_contains("flags", "ocr"), F.lit(False))).select("text")
+        both = _apart(broken).select("doc_id", "block_id", "other", "left", "word")
+        read = open_readings(paged, doubtful, lexical, clean, both)
+        # An occurrence over two blocks has no page.
+        over = read.where("page_num is null").join(both, ["doc_id", "block_id", "word"]).select("doc_id", F.when(F.startswith("fix", "left"), F.col("other")).otherwise(F.col("block_id")).alias("block_id"))
+        misread = misread.union(read.where("page_num is not null").select("doc_id", "block_id")).union(over)
     parts = (
-        listed.union(figures).union(split).withColumn("noise", F.lit("misread"))
+        misread.withColumn("noise", F.lit("misread"))
         .union(furniture.where("running").select("doc_id", "block_id", F.lit("running_line").alias("noise")))
         .union(furniture.where("numbered").select("doc_id", "block_id", F.lit("page_number").alias("noise")))
         .union(broken_words(broken, words).where("real").select("doc_id", "block_id", F.lit("hyphenation").alias("noise")))
@@ -556,9 +637,13 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             drop = {(x["block_id"], x["line"]) for x in (r.lines if r.lines is not None else ())}
             fix = dict(zip(r.bad, r.good)) if r.bad is not None else {}
             keep = {(x["left"], x["right"]) for x in (r.compounds if r.compounds is not None else ())}
+            open_fixes: dict[str, dict[tuple[str, str, str], str]] = {}
+            for x in r.open if r.open is not None else ():
+                open_fixes.setdefault(x["block_id"], {})[x["before"], x["word"], x["after"]] = x["fix"]
             parts: list[str] = []
             for b in r.blocks:
-                lines = [line for i, line in enumerate(b["text"].split("\n")) if (b["block_id"], i) not in drop and line.strip()]
+                said = _reread(b["text"], open_fixes[b["block_id"]]) if b["block_id"] in open_fixes else b["text"]
+                lines = [line for i, line in enumerate(said.split("\n")) if (b["block_id"], i) not in drop and line.strip()]
                 text = "\n".join(lines)
                 if not text:
                     continue
@@ -571,6 +656,34 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "page_num", "parts"])
 
 
+def _reread(text: str, fixes: dict[tuple[str, str, str], str]) -> str:
+    """A block with the occurrences repaired that ``open_readings`` names, line by line as it was."""
+    out: list[str] = []
+    tokens: list[tuple[int, str]] = []
+
+    def plain(piece: str) -> None:
+        at = 0
+        for m in _WORD.finditer(piece):
+            out.append(piece[at : m.start()])
+            tokens.append((len(out), m[0]))
+            out.append(m[0])
+            at = m.end()
+        out.append(piece[at:])
+
+    at = 0
+    for m in _BROKEN.finditer(text) if _HAS_MARK.search(text) else ():
+        plain(text[at : m.start()])
+        better = fixes.get(("", (m[1] + m[3]).lower(), "")) if m[3] else None
+        out.append(_cased(better, m[1] + m[3]) + "\n" * m[0].count("\n") if better else m[0])
+        at = m.end()
+    plain(text[at:])
+    low = ["", *(t.lower() for _, t in tokens), ""]
+    for i, (place, token) in enumerate(tokens):
+        if better := fixes.get((low[i], low[i + 1], low[i + 2])):
+            out[place] = _cased(better, token)
+    return "".join(out)
+
+
 def _flow(text: str, fix: dict[str, str], keep: set[tuple[str, str]]) -> str:
     """One paragraph: breaks joined, misread words repaired, figures read, white space single."""
 
@@ -598,7 +711,8 @@ def paragraphs(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     paged = cut(pages(ocr))
     words = cut(lexicon(ocr, blocks))
-    wrong = cut(misreadings(words))
+    judged = cut(corrections(words))
+    wrong, doubtful = judged.where("n_clean = 0").select("word", "fixes"), judged.where("n_clean > 0")
     clean = blocks.where(~F.coalesce(F.array_contains("flags", "ocr"), F.lit(False))).select("text")
     fixes = repairs(paged, wrong, ocr.select("text").union(clean)).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("word", "fix")).alias("w"))
     fixes = fixes.select("doc_id", "page_num", F.col("w.word").alias("bad"), F.col("w.fix").alias("good"))
@@ -608,7 +722,12 @@ def paragraphs(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     compounds = split.join(home, ["doc_id", "block_id"]).groupBy("doc_id", "page_num").agg(F.collect_set(F.struct("left", "right")).alias("compounds"))
     key = ["doc_id", "page_num"]
     ready = paged.join(lines, key, "left").join(fixes, key, "left").join(compounds, key, "left")
-    done = cut(ready.select("doc_id", "page_num", "blocks", "lines", "bad", "good", "compounds").mapInPandas(_repaired, "doc_id string, page_num int, parts array<string>"))
+    read = F.struct("block_id", "before", "word", "after", "fix")
+    if doubtful.isEmpty():
+        ready = ready.withColumn("open", F.array().cast("array<struct<block_id:string,before:string,word:string,after:string,fix:string>>"))
+    else:
+        ready = ready.join(open_readings(paged, doubtful, words, clean).groupBy(*key).agg(F.collect_list(read).alias("open")), key, "left")
+    done = cut(ready.select("doc_id", "page_num", "blocks", "lines", "bad", "good", "compounds", "open").mapInPandas(_repaired, "doc_id string, page_num int, parts array<string>"))
     # Over a page end: the head of the next page goes to the tail of this one.
     tail, head = F.element_at("parts", -1), F.element_at("parts", 1)
     some = done.where(F.size("parts") > 0)

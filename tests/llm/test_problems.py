@@ -127,6 +127,16 @@ def test_paragraphs_are_readable(spark, book):
     assert not [r for r in out if "copper harbour" in r.text and len(r.text) < 30]
 
 
+def test_misread_words_that_clean_texts_have(spark):
+    clean = ["the copper furnace glows"] * 30 + ["mister furnacc writes"]
+    rows = [("d", "bad", 1, 1, "Then the copper Furnacc glows.", 0.9), ("d", "good", 1, 2, "Here mister Furnacc writes.", 0.9), ("d", "cut", 1, 3, "the valve and the copper furnacc glows, mister furnacc writes", 0.9)]
+    ocr = spark.createDataFrame([(*r, "w") for r in rows], OCR)
+    blocks = spark.createDataFrame([(t, None) for t in clean], "text string, flags array<string>")
+    assert {(r.block_id, r.noise) for r in scans.scan_noise(ocr, blocks).collect()} == {("bad", "misread"), ("cut", "misread")}
+    said = [r.text for r in scans.paragraphs(ocr, blocks).orderBy("paragraph_no").collect()]
+    assert said == ["Then the copper Furnace glows.", "Here mister Furnacc writes.", "the valve and the copper furnace glows, mister furnacc writes"]
+
+
 def test_scans_of_nothing(spark):
     blocks = spark.createDataFrame([], "text string, flags array<string>")
     empty = spark.createDataFrame([], OCR)
