@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -133,6 +134,54 @@ def similar_entries(queries: DataFrame, memory: DataFrame, near: float = 0.93, e
     return found.distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("id", "entry_id", "similarity", (F.col("similarity") >= exact).alias("exact"), "place")
 
 
+def near_pairs(queries: DataFrame, entries: DataFrame, least: float, chunk: int = 512) -> DataFrame:
+    """id, entry_id, similarity: all pairs of one ``k`` with a ratio of at least ``least``.
+
+    ``queries(id, text, k)``, ``entries(entry_id, source_text, k)``, normalised here. Texts meet in
+    bands of length that no such pair leaves by more than one, as chunks of ``chunk`` texts and not as
+    pairs; shared characters and the longest common subsequence bound the ratio before it is computed.
+    """
+    width = math.log((2 - least) / least) * (1 + 1e-9)
+    band = F.floor(F.log(F.length("t")) / width).cast("int")
+    left = queries.select("k", F.col("id").alias("i"), X.normalize("text").alias("t")).where("t <> '' and k is not null and i is not null").withColumn("band", band)
+    right = entries.select("k", F.col("entry_id").alias("i"), X.normalize("source_text").alias("t")).where("t <> '' and k is not null and i is not null").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+
+    def chunks(df: DataFrame, name: str) -> DataFrame:
+        parts = df.groupBy("k", "band").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+        part = F.pmod(F.xxhash64("i"), F.col("parts")).alias("part")
+        return df.join(parts, ["k", "band"]).groupBy("k", "band", part).agg(F.collect_list("i").alias(f"{name}_i"), F.collect_list("t").alias(f"{name}_t")).drop("part")
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for qi, qt, ei, et in zip(f.q_i, f.q_t, f.e_i, f.e_t):
+                bag, lens = S.bags(qt)
+                own, own_lens = S.bags(et)
+                for q in range(len(qt)):
+                    some = S.may_reach(bag[q], int(lens[q]), own, own_lens, least)
+                    masks = S.places(qt[q]) if len(some) else {}
+                    for e in some:
+                        if 2 * S.common(masks, len(qt[q]), et[e]) >= least * (len(qt[q]) + len(et[e])) and (r := S.ratio(qt[q], et[e])) >= least:
+                            out.append((qi[q], ei[e], r))
+            yield pd.DataFrame(out, columns=["id", "entry_id", "similarity"])
+
+    return chunks(left, "q").join(chunks(right, "e"), ["k", "band"]).select("q_i", "q_t", "e_i", "e_t").mapInPandas(judge, "id string, entry_id string, similarity double")
+
+
+def rank(similarity: Column, own: Column) -> Column:
+    """Similarity with 0.02 added for the text's own chapter, at most 1."""
+    return F.least(F.lit(1.0), similarity + F.when(own, 0.02).otherwise(0.0))
+
+
+def near_entries(texts: DataFrame, memory: DataFrame, least: float, k: int = 3) -> DataFrame:
+    """id, entry_id, similarity, place: the ``k`` best entries of every text, as ``similar_entries`` ranks them, for any number of texts."""
+    pairs = near_pairs(texts.select("id", "text", F.lit(0).alias("k")), memory.select("entry_id", "source_text", F.lit(0).alias("k")), least)
+    placed = pairs.join(texts.select("id", F.col("chapter_id").alias("c")), "id").join(memory.select("entry_id", "chapter_id"), "entry_id")
+    order = rank(F.col("similarity"), F.col("c") == F.col("chapter_id"))
+    w = W.partitionBy("id").orderBy(F.desc(order), F.desc("similarity"), "entry_id")
+    return placed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("id", "entry_id", "similarity", "place")
+
+
 def lookup(table: DataFrame, columns: list[str], query: str, most: int, order: list[Column | str]) -> DataFrame:
     """The first ``most`` rows whose space-joined columns contain the query, without regard to case."""
     hay = F.lower(F.concat_ws(" ", *[X.text(c) for c in columns]))
@@ -153,10 +202,33 @@ def style_rules(texts: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) & ((F.col("coverage") > 0) | (F.col("place") == 1))).select("id", "rule", "coverage", "place")
 
 
-def chapter_terms(texts: DataFrame, memory: DataFrame, most: int = 5) -> DataFrame:
-    """id, entry_id, place: approved or locked entries of the text's chapter whose source lies in it, first ``most``."""
-    good = memory.where(F.lower(X.strip("quality")).isin("approved", "locked")).select("entry_id", "chapter_id", X.normalize("source_text").alias("s")).where("s <> ''")
-    base = texts.select("id", "chapter_id", X.normalize("text").alias("t"))
-    hit = base.join(good, "chapter_id").where(F.contains(F.col("t"), F.col("s")))
+def _contained_ids(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, entry_id: entries that lie in texts, as ``containment``, for long and many entries.
+
+    Joined on the first 4, 12 or 32 characters, whichever an entry has, without the texts themselves.
+    """
+    found = texts.join(F.broadcast(entries.where(F.length("s") < 4)), F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
+    for width, below in ((4, 12), (12, 32), (32, None)):
+        some = entries.where((F.length("s") >= width) & (F.length("s") < below if below else F.lit(True))).select("entry_id", "s", F.xxhash64(F.left("s", F.lit(width))).alias("_k"))
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - width + 1), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(width)))))
+        keyed = texts.where(F.length("t") >= width).select("id", F.explode(pieces).alias("_k")).join(some.select("entry_id", "_k"), "_k").select("id", "entry_id")
+        found = found.union(keyed.join(texts, "id").join(some.select("entry_id", "s"), "entry_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id"))
+    return found
+
+
+def chapter_terms(texts: DataFrame, memory: DataFrame, most: int = 5, least: float = 0.86) -> DataFrame:
+    """id, entry_id, place: approved or locked entries of the text's chapter whose source lies in it or is near it, first ``most``.
+
+    A text without a chapter takes the entries of all chapters.
+    """
+    good = memory.where(F.lower(X.strip("quality")).isin("approved", "locked")).select("entry_id", "chapter_id", "source_text", X.normalize("source_text").alias("s")).where("s <> ''")
+    base = texts.select("id", "chapter_id", "text", X.normalize("text").alias("t"))
+    free = F.coalesce(F.col("chapter_id"), F.lit("")) == ""
+    inside = base.where(~free).join(good.select("entry_id", "chapter_id", "s"), "chapter_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
+    anywhere = _contained_ids(base.where(free).select("id", "t"), good.select("entry_id", "s"))
+    # The key of a chapter is told apart from that of all chapters by its first character.
+    keyed = F.concat(F.lit("c"), F.col("chapter_id"))
+    near = near_pairs(base.select("id", "text", F.when(free, "*").otherwise(keyed).alias("k")), good.select("entry_id", "source_text", F.explode(F.array(keyed, F.lit("*"))).alias("k")), least)
+    hit = inside.union(anywhere).union(near.select("id", "entry_id")).distinct()
     w = W.partitionBy("id").orderBy("entry_id")
     return hit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("id", "entry_id", "place")

@@ -401,7 +401,7 @@ def j07_exact_matches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def j08_chapter_terms(s: SparkSession, d: str) -> DataFrame:
-    return memory.chapter_terms(_texts(s, d), tm(s, d).where("unit = 'heading'"))
+    return memory.chapter_terms(_texts(s, d), tm(s, d))
 
 
 @query

@@ -61,6 +61,36 @@ def test_similar_entries_equal_brute_force(spark):
     assert {k: v for k, (v, _) in got.items()} == want and got["e5"][1] and not got["e1"][1]
 
 
+def test_chapter_terms_near_and_without_chapter(spark):
+    long = "the quick brown fox jumps over the lazy dog near the old copper harbour"
+    tm = spark.createDataFrame([("e1", "Copper harbour", "c", "approved"), ("e2", long.replace("jumps", "jumped"), "c", "locked"), ("e3", long.replace("jumps", "jumped"), "x", "locked"), ("e4", long, "c", "draft"), ("e5", "nothing of it", "c", "approved")], "entry_id string, source_text string, chapter_id string, quality string")
+    texts = spark.createDataFrame([("1", long, "c"), ("2", long, None), ("3", long, "y"), ("4", None, None)], "id string, text string, chapter_id string")
+    assert {(r.id, r.entry_id, r.place) for r in memory.chapter_terms(texts, tm).collect()} == {("1", "e1", 1), ("1", "e2", 2), ("2", "e1", 1), ("2", "e2", 2), ("2", "e3", 3)}
+
+
+def test_chapter_terms_take_every_unit(spark, tmp_path):
+    from quire.plans import catalog
+
+    spark.sql("select named_struct('job_id', 'j', 'book_id', 'b', 'template_id', 't', 'source_language', 'en', 'target_language', 'ru') job, named_struct('chapter_id', 'c', 'chunk_id', 'k', 'source_text', 'A copper harbour.', 'block_ids', array('x')) payload, 'lean' profile_name, timestamp'2024-01-01' loaded_at").write.parquet(str(tmp_path / "job_inputs.parquet"))
+    spark.sql("select 'e' entry_id, 'segment' unit, 'copper harbour' source_text, 'y' target_text, 'c' chapter_id, 'approved' quality, timestamp'2024-01-01' loaded_at").write.parquet(str(tmp_path / "translation_memory.parquet"))
+    assert [r.entry_id for r in catalog.j08_chapter_terms(spark, str(tmp_path)).collect()] == ["e"]
+
+
+def test_near_pairs_equal_brute_force(spark):
+    import random
+
+    from quire.functions.similarity import ratio
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcde ") for _ in range(n)).strip() for n in (1, 2, 5, 9, 30, 60, 90, 120, 220)]
+    texts = [*base, *["".join(c for c in t if rng.random() > p) + "x" * rng.randrange(4) for t in base for p in (0.02, 0.05, 0.1, 0.15)]]
+    texts = [t.strip() for t in texts if t.strip() and "  " not in t]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "i string, t string")
+    for least in (0.86, 0.95):
+        got = {(r.id, r.entry_id) for r in memory.near_pairs(df.selectExpr("i id", "t text", "0 k"), df.selectExpr("i entry_id", "t source_text", "0 k"), least, chunk=7).collect()}
+        assert got == {(str(i), str(j)) for i, a in enumerate(texts) for j, b in enumerate(texts) if ratio(a, b) >= least}
+
+
 def test_containment_ways_agree(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the arctic heart", "smart parts", "a b", ""])], "id int, t string")
     terms = spark.createDataFrame([("art",), ("heart",), ("smart part",), ("b",), ("none of it",)], "key string")
