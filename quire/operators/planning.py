@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..session import cut
 from . import memory as M
 
 
@@ -19,22 +20,36 @@ def fragment(text: Column, kind: Column | None = None) -> Column:
     return F.coalesce(signs if kind is None else signs | ((kind == "auxiliary") & short), F.lit(False))
 
 
-def prefilter(texts: DataFrame, memory: DataFrame) -> DataFrame:
-    """id, action, reason, target: what can be answered without a backend.
+def prefilter(texts: DataFrame, memory: DataFrame, margin: float = 0.03) -> DataFrame:
+    """id, action, reason, target: what can be answered without a backend.
 
-    ``texts(id, ord, text, chapter_id)``. In order: empty and fragments are skipped; a text that an
-    earlier row reused repeats it; a text equal to a memory entry reuses that; the rest needs the
-    backend. Only texts that are left by the cheap rules reach the join.
+    ``texts(id, ord, text, chapter_id)``, and perhaps ``near``: the threshold of rows that may reuse
+    near entries, null for the others. In order: empty and fragments are skipped; a text that an
+    earlier row reused repeats it; a text equal to a memory entry reuses that; a text whose best near
+    entry passes its threshold by ``margin`` reuses that; the rest needs the backend. Only texts that
+    are left by the cheap rules reach the joins, and only those without an equal entry the near search.
     """
-    base = texts.select("id", "ord", "chapter_id", "text", X.strip("text").alias("s"), X.normalize("text").alias("key"))
+    may = F.col("near") if "near" in texts.columns else F.lit(None).cast("double")
+    base = texts.select("id", "ord", may.alias("near"), "chapter_id", "text", X.strip("text").alias("s"), X.normalize("text").alias("key"))
     cheap = F.when(F.col("s") == "", "empty_source").when(fragment(F.col("s")), "non_translatable_fragment")
-    base = base.withColumn("cheap", cheap)
+    base = cut(base.withColumn("cheap", cheap))
+    memory = cut(memory.select("entry_id", "source_text", "target_text", "chapter_id"))
     open_rows = base.where("cheap is null")
     reuse = M.exact_matches(open_rows, memory)
-    joined = open_rows.join(reuse, "id", "left")
+    joined = open_rows.join(reuse, "id", "left").withColumn("exact", F.col("target").isNotNull())
+    least = open_rows.agg(F.min("near")).head()[0] if "near" in texts.columns else None
+    if least is not None:
+        asked = open_rows.where("near is not null").join(reuse.select("id"), "id", "left_anti")
+        usable = memory.where(X.strip("target_text") != "").select("entry_id", "source_text", "chapter_id", "target_text")
+        # The best by rank counts, which adds for the chapter; what is below a row's threshold was not ranked there.
+        pairs = M.near_pairs(asked.select("id", "text", F.lit(0).alias("k")), usable.select("entry_id", "source_text", F.lit(0).alias("k")), least)
+        placed = pairs.join(asked.select("id", "near", "chapter_id"), "id").where("similarity >= near").join(usable.withColumnRenamed("chapter_id", "c"), "entry_id")
+        order = F.struct((-M.rank(F.col("similarity"), F.col("chapter_id") == F.col("c"))).alias("r"), (-F.col("similarity")).alias("s"), "entry_id", "target_text", "similarity", "near")
+        best = placed.groupBy("id").agg(F.min(order).alias("m")).where(F.col("m.similarity") >= F.col("m.near") + margin - 1e-9)
+        joined = joined.join(best.select("id", F.col("m.target_text").alias("like")), "id", "left").withColumn("target", F.coalesce("target", "like")).drop("like")
     before = W.partitionBy("key").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     joined = joined.withColumn("repeat", F.first("target", ignorenulls=True).over(before))
-    reason = F.when(F.col("repeat").isNotNull(), "repeated_approved_translation").when(F.col("target").isNotNull(), "translation_memory_exact").otherwise("requires_model_translation")
+    reason = F.when(F.col("repeat").isNotNull(), "repeated_approved_translation").when(F.col("exact"), "translation_memory_exact").when(F.col("target").isNotNull(), "translation_memory_near").otherwise("requires_model_translation")
     action = F.when(reason == "requires_model_translation", "model").otherwise("reuse")
     done = joined.select("id", action.alias("action"), reason.alias("reason"), F.coalesce("repeat", "target").alias("target"))
     skipped = base.where("cheap is not null").select("id", F.lit("skip").alias("action"), F.col("cheap").alias("reason"), F.when(F.col("cheap") != "empty_source", F.col("s")).alias("target"))

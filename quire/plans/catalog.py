@@ -473,15 +473,20 @@ def k04_flag_report(s: SparkSession, d: str) -> DataFrame:
 # Planning and runs
 
 
+def _planned(s: SparkSession, d: str) -> DataFrame:
+    """The plan of the jobs; near entries are reused on the profile that has neither editorial pass nor QA: ``lean``, the survey's economy."""
+    profiles = table(s, d, "economy_profiles").where("name = 'lean'").select(F.col("name").alias("profile_name"), F.col("tm_near_threshold").alias("near"))
+    return planning.prefilter(jobs(s, d).withColumn("ord", F.col("id")).join(F.broadcast(profiles), "profile_name", "left"), tm(s, d))
+
+
 @query
 def c04_prefilter(s: SparkSession, d: str) -> DataFrame:
-    return planning.prefilter(jobs(s, d).withColumn("ord", F.col("id")), tm(s, d))
+    return _planned(s, d)
 
 
 @query
 def a10_plan_summary(s: SparkSession, d: str) -> DataFrame:
-    plan = planning.prefilter(jobs(s, d).withColumn("ord", F.col("id")), tm(s, d))
-    return planning.plan_summary(plan).withColumn("share", F.round("share", 9))
+    return planning.plan_summary(_planned(s, d)).withColumn("share", F.round("share", 9))
 
 
 @query

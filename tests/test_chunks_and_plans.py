@@ -36,6 +36,17 @@ def test_prefilter_order(spark):
     assert got["5"][0] == "model"
 
 
+def test_prefilter_reuses_near_entries(spark):
+    long = "the quick brown fox jumps over the lazy dog near the old copper harbour of the northern town"
+    rows = [("1", 1, long, "c", 0.95), ("2", 2, long, None, None), ("3", 3, long + " in the evening", None, 0.95), ("4", 4, long.replace("quick", "slow"), None, 0.95), ("5", 5, long.replace("town", "towns"), None, None)]
+    texts = spark.createDataFrame(rows, "id string, ord int, text string, chapter_id string, near double")
+    tm = spark.createDataFrame([("e1", long + ".", "A", "c"), ("e0", long + "!", " ", "c"), ("e2", long.replace("old", "very old"), "B", "x")], "entry_id string, source_text string, target_text string, chapter_id string")
+    got = {r.id: (r.action, r.reason, r.target) for r in planning.prefilter(texts, tm).collect()}
+    assert got["1"] == ("reuse", "translation_memory_near", "A")
+    assert got["2"] == ("reuse", "repeated_approved_translation", "A")
+    assert got["3"][0] == got["4"][0] == got["5"][0] == "model"
+
+
 def test_batches(spark):
     jobs = spark.createDataFrame([("b", str(i), c) for i, c in enumerate(["01", "01", "01", "02", None, None])], "book_id string, id string, chapter_id string")
     got = planning.batches(jobs, 2).orderBy("id").collect()
