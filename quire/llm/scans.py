@@ -728,15 +728,24 @@ def paragraphs(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     else:
         ready = ready.join(open_readings(paged, doubtful, words, clean).groupBy(*key).agg(F.collect_list(read).alias("open")), key, "left")
     done = cut(ready.select("doc_id", "page_num", "blocks", "lines", "bad", "good", "compounds", "open").mapInPandas(_repaired, "doc_id string, page_num int, parts array<string>"))
-    # Over a page end: the head of the next page goes to the tail of this one.
+    # Over page ends: the heads of the pages that go on go to the tail where the paragraph begins. A page
+    # that is one part and goes on is within the paragraph as a whole, and so may be the page after it.
     tail, head = F.element_at("parts", -1), F.element_at("parts", 1)
     some = done.where(F.size("parts") > 0)
-    opened = some.where(~tail.rlike("[.!?…:;»”)\\]]$")).select("doc_id", (F.col("page_num") + 1).alias("page_num"))
-    moved = some.where(head.rlike("^\\p{Ll}")).select("doc_id", "page_num", head.alias("head")).join(opened, key)
-    onward = moved.select("doc_id", (F.col("page_num") - 1).alias("page_num"), F.col("head").alias("more"))
-    glue = F.when(tail.rlike(f"\\p{{L}}[{MARKS}]$"), F.concat(F.regexp_replace(tail, f"[{MARKS}]$", ""), F.col("more"))).otherwise(F.concat_ws(" ", tail, F.col("more")))
-    both = some.join(onward, key, "left").join(moved.select("doc_id", "page_num", F.lit(1).alias("lost")), key, "left")
+    narrow = some.select("doc_id", "page_num", (F.size("parts") == 1).alias("single"), tail.rlike("[.!?…:;»”)\\]]$").alias("ended"), head.rlike("^\\p{Ll}").alias("low"))
+    book = W.partitionBy("doc_id").orderBy("page_num")
+    goes_on = (F.lag("page_num").over(book) == F.col("page_num") - 1) & ~F.lag("ended").over(book) & F.col("low")
+    placed = narrow.withColumn("lost", F.coalesce(goes_on, F.lit(False)))
+    owner = F.last(F.when(~(F.col("lost") & F.col("single")), F.col("page_num")), ignorenulls=True).over(book.rowsBetween(W.unboundedPreceding, -1))
+    lost = cut(placed.withColumn("owner", owner).where("lost").select(*key, "owner"))
+    moved = some.select(*key, head.alias("head")).join(lost, key)
+    onward = moved.groupBy("doc_id", F.col("owner").alias("page_num")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_num").alias("page"), "head"))).alias("more"))
+
+    def glue(said, more):
+        return F.when(said.rlike(f"\\p{{L}}[{MARKS}]$"), F.concat(F.regexp_replace(said, f"[{MARKS}]$", ""), more["head"])).otherwise(F.concat_ws(" ", said, more["head"]))
+
+    both = some.join(onward, key, "left").join(lost.select(*key, F.lit(1).alias("lost")), key, "left")
     kept = F.slice("parts", F.lit(1), F.greatest(F.lit(0), F.size("parts") - 1))
-    whole = F.when(F.col("more").isNotNull(), F.concat(kept, F.array(glue))).otherwise(F.col("parts"))
+    whole = F.when(F.col("more").isNotNull(), F.concat(kept, F.array(F.aggregate("more", tail, glue)))).otherwise(F.col("parts"))
     rows = both.withColumn("parts", whole).withColumn("parts", F.when(F.col("lost") == 1, F.slice("parts", F.lit(2), F.greatest(F.lit(0), F.size("parts") - 1))).otherwise(F.col("parts")))
     return rows.select("doc_id", "page_num", F.posexplode("parts").alias("paragraph_no", "text")).where("text <> ''")

@@ -137,6 +137,14 @@ def test_misread_words_that_clean_texts_have(spark):
     assert said == ["Then the copper Furnace glows.", "Here mister Furnacc writes.", "the valve and the copper furnace glows, mister furnacc writes"]
 
 
+def test_paragraph_over_many_pages(spark):
+    pages = ["Alpha ends here. Beta begins", "runs through one whole page and the har-", "bour then goes", "on to its end.", "Gamma is new and"]
+    rows = [("d", f"b{i}", i, 1, t, 0.9, "w") for i, t in enumerate(pages, 1)] + [("d", "b4x", 4, 2, "Delta is open", 0.9, "w"), ("d", "b6", 6, 1, "goes on.", 0.9, "w"), ("d", "b8", 8, 1, "lone tail.", 0.9, "w")]
+    empty = spark.createDataFrame([], "text string, flags array<string>")
+    out = [(r.page_num, r.text) for r in scans.paragraphs(spark.createDataFrame(rows, OCR), empty).orderBy("page_num", "paragraph_no").collect()]
+    assert out == [(1, "Alpha ends here. Beta begins runs through one whole page and the harbour then goes on to its end."), (4, "Delta is open"), (5, "Gamma is new and goes on."), (8, "lone tail.")]
+
+
 def test_scans_of_nothing(spark):
     blocks = spark.createDataFrame([], "text string, flags array<string>")
     empty = spark.createDataFrame([], OCR)
