@@ -412,8 +412,11 @@ def f05_glossary_lookup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def t04_style_rules(s: SparkSession, d: str) -> DataFrame:
-    rules = s.createDataFrame([(1, "Keep numbers and the kg unit as in the source"), (2, "Use the formal system of terms"), (3, "Names of towns are transliterated"), (4, "Никогда не меняйте порядок предложений")], "ord int, rule string")
-    return memory.style_rules(_texts(s, d), rules, 3).withColumn("coverage", F.round("coverage", 9))
+    return memory.style_rules(_texts(s, d), _rules(s), 3).withColumn("coverage", F.round("coverage", 9))
+
+
+def _rules(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(1, "Keep numbers and the kg unit as in the source"), (2, "Use the formal system of terms"), (3, "Names of towns are transliterated"), (4, "Никогда не меняйте порядок предложений")], "ord int, rule string")
 
 
 @query
@@ -562,7 +565,9 @@ def s18_output_states(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def c05_context(s: SparkSession, d: str) -> DataFrame:
-    return context.package(_texts(s, d), table(s, d, "glossary"), tm(s, d))
+    rows = latest(table(s, d, "job_inputs").select(F.col("job.job_id").alias("id"), F.col("payload.chapter_id").alias("chapter_id"), F.col("payload.chapter_notes").alias("text"), "loaded_at"), ["id"], F.col("loaded_at"))
+    notes = context.chapter_notes(rows.select("id", F.col("id").alias("doc"), "chapter_id"), rows.select(F.col("id").alias("doc"), "text"))
+    return context.package(_texts(s, d), table(s, d, "glossary"), tm(s, d), rules=_rules(s), notes=notes)
 
 
 @query

@@ -21,6 +21,17 @@ def test_package(spark):
     assert got["2"].weight == 0
 
 
+def test_package_has_near_entries_decisions_rules_and_notes(spark):
+    long = "the quick brown fox jumps over the lazy dog near the old copper harbour"
+    texts = spark.createDataFrame([("1", long, "c")], "id string, text string, chapter_id string")
+    glossary = spark.createDataFrame([], "source_term string, target_term string, decision string")
+    tm = spark.createDataFrame([("n", long + "s", "Да", "x", "draft"), ("d", "copper harbour", "Нет", "c", "approved")], "entry_id string, source_text string, target_text string, chapter_id string, quality string")
+    rules = spark.createDataFrame([(1, "Keep the harbour")], "ord int, rule string")
+    r = context.package(texts, glossary, tm, rules=rules, notes=spark.createDataFrame([("1", "Calm.")], "id string, notes string")).head()
+    assert (r.entry_id, r.similar, r.decisions, r.rules, r.notes) == ("n", "n", "d", "Keep the harbour", "Calm.")
+    assert r.weight == len(r.names) + len(long) + 1 + 2 + 14 + 3 + 16 + 5
+
+
 def test_payload_flags(spark):
     rows = [("1", '{"issues": [{"severity": "HIGH", "message": "m", "issue_id": "i"}, null, {"severity": "odd"}], "qa_passed": false}'), ("2", '{"qa_passed": false}'), ("3", '{"qa_passed": true}'), ("4", "no json"), ("5", None)]
     got = sorted((r.id, r.rule_id, r.severity) for r in context.payload_flags(spark.createDataFrame(rows, "id string, json string")).collect())
