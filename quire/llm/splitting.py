@@ -7,7 +7,9 @@ packing. Cuts are offsets into the original text, so the pieces rebuild it exact
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,21 +25,44 @@ SEPARATORS = (
 #: Parts of the block limit: block separators are empty lines.
 _BLOCK = re.compile(r"\n[ \t]*\n")
 
-PIECES = "piece_no int, start int, end int, overlap int, boundary string, n_blocks int, text string"
-
-
-def _fits(text: str, start: int, end: int, max_chars: int | None, ends: list[int], max_blocks: int | None) -> bool:
-    return (max_chars is None or end - start <= max_chars) and (max_blocks is None or _blocks(ends, start, end) <= max_blocks)
+PIECES = "piece_no int, start int, end int, overlap int, overlap_short int, boundary string, n_blocks int, text string"
 
 
 def _blocks(ends: list[int], start: int, end: int) -> int:
     """Blocks that text[start:end] touches; ``ends`` are the places where a next block begins."""
-    from bisect import bisect_left, bisect_right
-
     return 1 + bisect_left(ends, end) - bisect_right(ends, start)
 
 
-def _cuts(text: str, start: int, end: int, level: int, fits) -> list[tuple[int, str]]:
+class Limits:
+    """What a piece may hold: its overlap and its new text together stay within both limits."""
+
+    def __init__(self, text: str, max_chars: int | None, max_blocks: int | None, overlap: int | None) -> None:
+        self.chars = max_chars if max_chars and max_chars > 0 else None
+        self.blocks = max_blocks if max_blocks and max_blocks > 0 else None
+        self.overlap = max(0, overlap or 0)
+        self.ends = [m.end() for m in _BLOCK.finditer(text) if m.end() < len(text)]
+
+    def back(self, begin: int) -> int:
+        """Where the piece starts whose new text begins at ``begin``.
+
+        The stated overlap before it; less only at the start of the text, or where nothing new would
+        fit beside it: one character must, and the block it stands in.
+        """
+        back = max(0, begin - self.overlap)
+        if self.chars:
+            back = max(back, begin + 1 - self.chars)
+        if self.blocks:
+            first = bisect_left(self.ends, begin + 1) - self.blocks
+            if first >= 0:
+                back = max(back, self.ends[first])
+        return min(back, begin)
+
+    def fits(self, begin: int, end: int) -> bool:
+        start = self.back(begin)
+        return (self.chars is None or end - start <= self.chars) and (self.blocks is None or _blocks(self.ends, start, end) <= self.blocks)
+
+
+def _cuts(text: str, start: int, end: int, level: int, fits: Callable[[int, int], bool]) -> list[tuple[int, str]]:
     """Ends of atoms that fit, within text[start:end]: split by the level, and what is still too large by the next."""
     if fits(start, end):
         return [(end, "end")]
@@ -64,58 +89,38 @@ def _cuts(text: str, start: int, end: int, level: int, fits) -> list[tuple[int,
 
 
 def _joins(c: str) -> bool:
-    import unicodedata
+    return unicodedata.combining(c) > 0 or c in "\u200d\ufe0f"
 
-    return unicodedata.combining(c) > 0 or c in "‍️"
 
-
-def split(text: str, max_chars: int | None, max_blocks: int | None, overlap: int) -> list[tuple[int, int, int, int, str, int, str]]:
-    """Pieces (piece_no, start, end, overlap, boundary, n_blocks, text) of one item.
+def split(text: str, max_chars: int | None, max_blocks: int | None, overlap: int | None) -> list[tuple[int, int, int, int, int, str, int, str]]:
+    """Pieces (piece_no, start, end, overlap, overlap_short, boundary, n_blocks, text) of one item.
 
     Every piece is within both limits, its overlap included. ``start`` is where the new text of
-    the piece begins; the piece is text[start - overlap:end]. The overlap is the stated number
-    of characters, moved forward to a word start when one lies in its first half, and shortened
-    where the limits leave no room. A null or non-positive limit does not bind. An item within
-    the limits is one piece.
+    the piece begins; the piece is text[start - overlap:end]. Every piece but the first repeats
+    exactly the stated number of characters before it. ``overlap_short`` says by how many it falls
+    short: where the stated overlap reaches before the start of the text, is not below the limit
+    of characters, or holds so many blocks that no new text would fit beside it.
+    A null or non-positive limit does not bind. An item within the limits is one piece.
     """
-    max_chars = max_chars if max_chars and max_chars > 0 else None
-    max_blocks = max_blocks if max_blocks and max_blocks > 0 else None
-    overlap = max(0, min(overlap or 0, (max_chars or 2 * len(text) + 2) // 2))
-    ends = [m.end() for m in _BLOCK.finditer(text) if m.end() < len(text)]
-    if _fits(text, 0, len(text), max_chars, ends, max_blocks):
-        return [(0, 0, len(text), 0, "end", _blocks(ends, 0, len(text)), text)]
-    room = max_chars - overlap if max_chars else None
-
-    def fits(a: int, b: int) -> bool:
-        return _fits(text, a, b, room, ends, max_blocks)
-
-    atoms = _cuts(text, 0, len(text), 0, fits)
-    out: list[tuple[int, int, int, int, str, int, str]] = []
+    limits = Limits(text, max_chars, max_blocks, overlap)
+    if limits.fits(0, len(text)):
+        return [(0, 0, len(text), 0, 0, "end", _blocks(limits.ends, 0, len(text)), text)]
+    atoms = _cuts(text, 0, len(text), 0, limits.fits)
+    out: list[tuple[int, int, int, int, int, str, int, str]] = []
     begin, i = 0, 0
     while i < len(atoms):
-        back = _overlap(text, begin, overlap, ends, max_blocks, atoms[i][0]) if out else begin
         end, boundary = atoms[i]
         i += 1
-        while i < len(atoms) and _fits(text, back, atoms[i][0], max_chars, ends, max_blocks):
+        while i < len(atoms) and limits.fits(begin, atoms[i][0]):
             end, boundary = atoms[i]
             i += 1
-        out.append((len(out), begin, end, begin - back, boundary, _blocks(ends, back, end), text[back:end]))
+        back = limits.back(begin)
+        short = limits.overlap - (begin - back) if out else 0
+        out.append((len(out), begin, end, begin - back, short, boundary, _blocks(limits.ends, back, end), text[back:end]))
         begin = end
     return out
 
 
-def _overlap(text: str, begin: int, overlap: int, ends: list[int], max_blocks: int | None, end: int) -> int:
-    """Where a piece whose new text begins at ``begin`` starts with its overlap."""
-    back = max(0, begin - overlap)
-    half = text.find(" ", back, back + overlap // 2)
-    if back and half >= 0 and not text[back - 1].isspace():
-        back = half + 1
-    while max_blocks and back < begin and _blocks(ends, back, end) > max_blocks:
-        later = [e for e in ends if back < e <= begin]
-        back = later[0] if later else begin
-    return back
-
-
 def oversized(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Jobs over a limit of their profile: job_id, source_text, limits, reason; one row per delivery."""
     limits = profiles.groupBy("name").agg(*(F.max(c).alias(c) for c in ("chunk_max_chars", "chunk_max_blocks", "overlap_chars")))
@@ -130,8 +135,8 @@ def split_jobs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
 
     ``jobs(job.job_id, payload.source_text, payload.block_ids, profile_name)``, ``profiles(name,
     chunk_max_chars, chunk_max_blocks, overlap_chars)``. A job delivered again is split once.
-    Result: job_id, reason (chars, blocks or both), piece_no, start, end, overlap, boundary
-    (what the piece ends with), n_blocks, text. Jobs exactly at a limit, jobs with a null text or
+    Result: job_id, reason (chars, blocks or both), piece_no, start, end, overlap, overlap_short,
+    boundary (what the piece ends with), n_blocks, text. Jobs exactly at a limit, jobs with a null text or
     an unknown profile have no pieces; null block ids count as none; extra columns are not read.
     Where the ids of a job outnumber the empty lines of its text, the block limit is applied to
     the blocks of the text.
@@ -146,7 +151,7 @@ def split_jobs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
             for job, text, chars, blocks, overlap, reason in zip(frame.job_id, frame.source_text, frame.chunk_max_chars, frame.chunk_max_blocks, frame.overlap_chars, frame.reason):
                 number = lambda x: None if pd.isna(x) else int(x)
                 rows += [(job, reason, *piece) for piece in split(text, number(chars), number(blocks), number(overlap) or 0)]
-            yield pd.DataFrame(rows, columns=["job_id", "reason", "piece_no", "start", "end", "overlap", "boundary", "n_blocks", "text"])
+            yield pd.DataFrame(rows, columns=["job_id", "reason", "piece_no", "start", "end", "overlap", "overlap_short", "boundary", "n_blocks", "text"])
 
     return once.mapInPandas(run, f"job_id string, reason string, {PIECES}")
 

@@ -195,8 +195,18 @@ def test_pieces_fit_and_rebuild(seed):
     chars, blocks, overlap = rng.choice([40, 120, 700]), rng.choice([1, 3, None]), rng.choice([0, 10, 30])
     pieces = splitting.split(text, chars, blocks, overlap)
     assert "".join(text[a:b] for _, a, b, *_ in pieces) == text
-    for k, (no, a, b, over, _, n, piece) in enumerate(pieces):
-        assert no == k and piece == text[a - over : b] and len(piece) <= chars and (blocks is None or n <= blocks) and over <= overlap
+    for k, (no, a, b, over, short, _, n, piece) in enumerate(pieces):
+        assert no == k and piece == text[a - over : b] and len(piece) <= chars and (blocks is None or n <= blocks) and over + short == (overlap if k else 0)
+        # Short only where the text begins, or where one more character of overlap leaves no room for new text.
+        assert not short or over == a or blocks and splitting._blocks(splitting.Limits(text, None, None, 0).ends, a - over - 1, a + 1) > blocks
+
+
+def test_stated_overlap_is_kept():
+    text = " ".join(prose(4, 200).split())
+    for chars, overlap in ((100, 80), (100, 99), (60, 1), (100, 0)):
+        pieces = splitting.split(text, chars, None, overlap)
+        assert {p[3] for p in pieces[1:] if p[1] >= overlap} == {overlap} and "".join(text[p[1] : p[2]] for p in pieces) == text
+    assert {(p[3], p[4]) for p in splitting.split("x" * 50, 10, None, 25)[1:] if p[1] > 20} == {(9, 16)}
 
 
 def test_split_edges(spark):
@@ -209,7 +219,7 @@ def test_split_edges(spark):
     jobs = spark.createDataFrame(rows, schema)
     assert {(r.job_id, r.reason) for r in splitting.oversized_jobs(jobs, profiles).collect()} == {("chars", "chars"), ("blocks", "blocks"), ("both", "both"), ("noids", "chars")}
     assert splitting.split_jobs(jobs.where(F.lit(False)), profiles).count() == 0
-    assert [p[6] for p in splitting.split("", 5, 5, 1)] == [""]
+    assert [p[7] for p in splitting.split("", 5, 5, 1)] == [""]
 
 
 # 5 skeletons
