@@ -168,6 +168,8 @@ def test_distance_and_fold():
         ("A full sentence stands here.", "Полное предложение стоит", True), ("A full sentence stands here.", "Полное предложение стоит здесь.", False), ("A heading", "Заголовок", False),
         ("It ends so…", "Так кончается…", False), ("It ends here.", "Так конч…", True), ("It ends here.", "Так конч ...", True), ("He said “no”.", "Он сказал «нет».", False), ("He said “no”.", "Он сказал «н", True),
         ("See it. [12]", "См. [12]", False), ("See it. (code 12)", "См. это. (код 12)", False), ("A list;", "Список", True), ("It ends.", "Так конч�", True), ("It ends.", None, False), ("It ends.", " ", False), (None, "Так", False),
+        ("This is <b>grave</b> still", "Это <b>важно и ещё", True), ("This is <b>grave</b> still", "Это <b>важно</b> и ещё", False), ("A break<br> here", "Разрыв<br> тут", False), ('A "word" here', 'Вот "слово" тут', False), ('A "word" here', 'Вот "слово тут', True),
+        ("It ends.", "Так кончается <span class=" + "x" * 200, True), ("It ends.", "Так. " + "[1]" * 200, False), ("It ends.", "Так.\\u04", True), ("It is 3 < 5.", "Вот 3 < 5.", False), ("It is &amp; so.", "Это &am", True),
     ],
 )
 def test_truncation(spark, source, target, cut):
@@ -185,6 +187,22 @@ def test_truncation_rates(spark):
     assert got == {("translation_memory", "a"): (2, 1), ("job_outputs", "b"): (1, 1)}
 
 
+def test_open_marks_are_on_the_stack():
+    opened = lambda text: truncation.state(text)[1]
+    assert opened("Это <b>важно и ещё.") == 1 and opened("<p>a<br>b<img src='x'/><b>c</b></p>") == 0
+    assert opened("<p>a <i>b</p>") == 0 and opened("</b> a [b (c") == 2 and opened('"a" "b') == 1 and opened("„a“ “b” «c») ]") == 0
+
+
+def test_sources_without_final_stops(spark):
+    rows = [(f"n{i}", "One is here.", "Один здесь" + "." * (i % 4 == 0), "bare") for i in range(40)] + [(f"s{i}", "One is here.", "Один здесь" + "." * (i > 1), "full") for i in range(40)]
+    rows += [("cut", "A sentence of quite some length stands here, for the baseline of lengths.", "Предложение", "bare"), ("torn", "One is here.", "Один зд�", "bare")]
+    rows += [(f"long{i}", "A sentence of quite some length stands here, for the baseline of lengths.", "Предложение изрядной длины стоит здесь ради длин и их меры.", "bare") for i in range(9)]
+    memory = spark.createDataFrame(rows, "entry_id string, source_text string, target_text string, source string")
+    jobs = spark.createDataFrame([], "job struct<job_id:string,target_language:string>, payload struct<source_text:string>")
+    outputs = spark.createDataFrame([], "job_id string, translated_text string, source string")
+    assert {r.rec for r in truncation.truncated(memory, jobs, outputs).collect()} == {"s0", "s1", "cut", "torn"}
+
+
 # 4 splitting
 
 
