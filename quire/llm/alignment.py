@@ -2,12 +2,13 @@
 
 A hidden Markov model: target sentences are emissions of source states, with jump
 probabilities between states, a null probability for added sentences and span states of two
-neighbouring source sentences for merges. The emission compares what survives translation:
+source sentences for merges. The emission compares what survives translation:
 glossary concepts in any inflection, figures, and names across scripts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,8 +47,23 @@ def _ending(part: str) -> bool:
     return not part or part[0] in "аеёиоуыэюяйь" or part in _ENDINGS
 
 
+def _closeness(term: str, word: str) -> float:
+    """How well a lower-case word is a form of a word of a term: their common beginning less what differs; 0 for not at all."""
+    if term == word:
+        return float(len(term)) or 0.0
+    n = len(os.path.commonprefix((term, word)))
+    rest, tail = term[n:], word[n:]
+    if n < 3 or len(rest) > 3 or len(tail) > 4 or not (_ending(rest) and _ending(tail)):
+        return 0.0
+    return n - 0.4 * len(rest + tail)
+
+
 class Glossary:
-    """Concepts: glossary terms joined through shared source or target terms, found in inflected words."""
+    """Concepts: glossary terms joined through shared source or target terms, found in inflected words.
+
+    A term of several words is found where forms of all its words stand in a row; it goes before
+    the terms of its single words.
+    """
 
     def __init__(self, rows: list[tuple[str | None, str | None]], most_cached: int = 300_000) -> None:
         parent: dict[tuple[int, str], tuple[int, str]] = {}
@@ -58,14 +74,20 @@ class Glossary:
             return x
 
         for source, target in rows:
-            a, b = ((source or "").strip().lower(), (target or "").strip().lower())
+            a, b = (" ".join((x or "").lower().split()) for x in (source, target))
             if a and b:
                 parent[root((0, a))] = root((1, b))
         names = {r: i for i, r in enumerate(sorted({root(x) for x in parent}))}
         self.terms: dict[str, list[tuple[str, int]]] = {}
+        self.phrases: dict[str, list[tuple[list[str], int]]] = {}
         for x in list(parent):
-            for part in x[1].split() if " " not in x[1] else ():
-                self.terms.setdefault(part[:3], []).append((part, names[root(x)]))
+            parts = _TOKEN.findall(x[1]) if " " in x[1] else [x[1]]
+            if len(parts) > 1:
+                self.phrases.setdefault(parts[0][:3], []).append((parts, names[root(x)]))
+            elif parts:
+                self.terms.setdefault(parts[0][:3], []).append((parts[0], names[root(x)]))
+        for those in self.phrases.values():
+            those.sort(key=lambda x: (-len(x[0]), x))
         self.cache: dict[str, int] = {}
         self.most = most_cached
 
@@ -75,25 +97,33 @@ class Glossary:
         if known is None:
             best, known = 0.0, -1
             for term, concept in self.terms.get(word[:3], ()):
-                n = 0
-                for a, b in zip(term, word):
-                    if a != b:
-                        break
-                    n += 1
-                rest, tail = term[n:], word[n:]
-                if n >= 3 and len(rest) <= 3 and len(tail) <= 4 and _ending(rest) and _ending(tail) and (score := n - 0.4 * len(rest + tail)) > best:
+                if len(word) >= 3 and (score := _closeness(term, word)) > best:
                     best, known = score, concept
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[word] = known
         return known
 
+    def phrase(self, words: list[str], at: int) -> tuple[int, int]:
+        """The concept of the longest term of several words whose forms stand from ``at`` on, and its number of words; -1 and 0 for none."""
+        for parts, concept in self.phrases.get(words[at][:3], ()):
+            some = words[at : at + len(parts)]
+            if len(some) == len(parts) and all(_closeness(p, w) > 0 for p, w in zip(parts, some)):
+                return concept, len(parts)
+        return -1, 0
+
 
 def features(sentence: str, glossary: Glossary) -> tuple[set[str], set[str]]:
     """Features that any rendering should keep, and features that count only where both texts have them."""
     firm: set[str] = set()
     loose: set[str] = set()
-    for k, token in enumerate(_TOKEN.findall(sentence)):
+    tokens = _TOKEN.findall(sentence)
+    words = [t.lower() for t in tokens]
+    within = 0  # words of the last phrase still to pass
+    for k, token in enumerate(tokens):
+        if within:
+            within -= 1
+            continue
         if token[0].isdigit():
             # A rendering may round: the whole part must agree, the rest counts where both texts have it.
             whole, _, rest = token.replace(",", ".").partition(".")
@@ -101,8 +131,13 @@ def features(sentence: str, glossary: Glossary) -> tuple[set[str], set[str]]:
             if rest:
                 loose.add("#" + whole + "." + rest)
             continue
-        low = token.lower()
-        concept = glossary.concept(low)
+        if words[k][:3] in glossary.phrases:
+            concept, n = glossary.phrase(words, k)
+            if n:
+                firm.add(f"c{concept}")
+                within = n - 1
+                continue
+        concept = glossary.concept(words[k])
         if concept >= 0:
             firm.add(f"c{concept}")
         elif token[0].isupper() and len(token) >= 4:
@@ -122,6 +157,7 @@ class Model:
     far: float = 0.012
     span: float = 0.25
     contained: float = 0.7
+    seen: float = 1.0
 
 
 def _similar(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -130,33 +166,42 @@ def _similar(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.divide(2 * shared, size, out=np.zeros_like(shared), where=size > 0)
 
 
-def align(source: list[str], target: list[str], glossary: Glossary, m: Model = Model()) -> list[tuple[int, int]]:
-    """Pairs (source_no, target_no) of the most likely path."""
-    n, k = len(source), len(target)
-    if not n or not k:
-        return []
-    found = [features(s, glossary) for s in source + target]
-    both = set().union(*(f | o for f, o in found[:n])) & set().union(*(f | o for f, o in found[n:]))
-    rows = [f | (o & both) for f, o in found]
-    index: dict[str, int] = {}
-    for row in rows:
-        for x in row:
-            index.setdefault(x, len(index))
-    if not index:
-        return []
-    has = np.zeros((n + k, len(index)), np.float32)
-    for i, row in enumerate(rows):
-        has[i, [index[x] for x in row]] = 1
-    worth = np.array([{"#": 1.5, "n": 2.0, "c": 1.0}[x[0]] for x in index], np.float32)
-    weight = worth / np.maximum(1, np.maximum(has[:n].sum(0), has[n:].sum(0))) ** 0.5
-    states = np.concatenate([has[:n], np.maximum(has[: n - 1], has[1:n])])
-    start = np.concatenate([np.arange(n), np.arange(n - 1)])
-    end = np.concatenate([np.arange(n), np.arange(1, n)])
-    similar = _similar(states, has[n:], weight)
-    emit = np.where(similar < m.least_similar, m.unlike, m.sharpness * (similar - m.least_similar))
-    emit[n:] += np.log(m.span)
+@dataclass
+class States:
+    """Source states: what they emit, the sentences they begin and end at, those they stand for, and the log weight of their kind."""
+
+    has: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    members: list[tuple[int, ...]]
+    cost: np.ndarray
+
+    @classmethod
+    def of(cls, has: np.ndarray, m: Model) -> States:
+        """Every sentence, and every span of two neighbours."""
+        n = len(has)
+        one = np.arange(n)
+        spans = np.maximum(has[:-1], has[1:])
+        members = [(i,) for i in range(n)] + [(i, i + 1) for i in range(n - 1)]
+        cost = np.concatenate([np.zeros(n), np.full(n - 1, np.log(m.span))])
+        return cls(np.concatenate([has, spans]), np.concatenate([one, one[:-1]]), np.concatenate([one, one[1:]]), members, cost)
+
+    def also(self, rows: list[np.ndarray], members: list[tuple[int, ...]], log_weight: float) -> States:
+        """The states and further ones, each beginning and ending at the sentence it is first of."""
+        at = np.array([x[0] for x in members], np.int64)
+        return States(np.concatenate([self.has, np.stack(rows)]), np.append(self.start, at), np.append(self.end, at), self.members + members, np.append(self.cost, np.full(len(members), log_weight)))
+
+
+def _decode(states: States, n: int, target: np.ndarray, weight: np.ndarray, m: Model) -> list[tuple[int, int]]:
+    """Viterbi: (state, target sentence) along the most likely path; empty where nothing but nulls is likelier."""
+    similar = _similar(states.has, target, weight)
+    emit = np.where(similar < m.least_similar, m.unlike, m.sharpness * (similar - m.least_similar)) + states.cost[:, None]
     jump, far, null = {d: np.log(p) for d, p in m.jumps}, np.log(m.far), np.log(m.null)
-    size = len(states)
+    size, k = len(states.has), len(target)
+    start, end = states.start, states.end
+    # States by the sentence they end at, so that each step takes the best of every end.
+    by = np.argsort(end, kind="stable")
+    ends, first_of = np.unique(end[by], return_index=True)
     before = np.where(start == 0, np.log(0.6), np.maximum(far, np.log(0.2) - start)).astype(np.float32)
     real, blank = np.full(size, -np.inf), np.full(size, -np.inf)
     back = np.zeros((k, 2, size), np.int64)  # index of the previous (kind, state), flattened; -1 before the first
@@ -168,19 +213,18 @@ def align(source: list[str], target: list[str], glossary: Glossary, m: Model = M
         top = int(best.argmax())
         reach = np.full(size, best[top] + far)
         came = np.full(size, kind[top] * size + top)
-        by_end = np.full(n, -np.inf)
-        arg_end = np.zeros(n, np.int64)
-        by_end[:n], arg_end[:n] = best[:n], np.arange(n)
-        if n > 1:
-            better = best[n:] > by_end[1:]
-            by_end[1:][better], arg_end[1:][better] = best[n:][better], np.arange(n, size)[better]
+        by_end, arg_end = np.full(n, -np.inf), np.zeros(n, np.int64)
+        by_end[ends] = np.maximum.reduceat(best[by], first_of)
+        hit = best[by] == by_end[end[by]]
+        arg_end[end[by][hit][::-1]] = by[hit][::-1]
         for d, p in jump.items():
             at = start - d
             ok = (at >= 0) & (at < n)
-            score = np.where(ok, by_end[np.clip(at, 0, n - 1)] + p, -np.inf)
+            at = np.clip(at, 0, n - 1)
+            score = np.where(ok, by_end[at] + p, -np.inf)
             better = score > reach
             reach[better] = score[better]
-            arg = arg_end[np.clip(at, 0, n - 1)]
+            arg = arg_end[at]
             came[better] = (kind[arg] * size + arg)[better]
         first = outset + before
         better = first > reach
@@ -195,22 +239,67 @@ def align(source: list[str], target: list[str], glossary: Glossary, m: Model = M
     if outset >= best[top]:
         return []
     at = (size if blank[top] > real[top] else 0) + top
-    out: list[tuple[int, int]] = []
+    path: list[tuple[int, int]] = []
     for j in reversed(range(k)):
         if at < 0:
             break
         kind, state = divmod(at, size)
         if kind == 0:
-            out += [(i, j) for i in range(start[state], end[state] + 1)]
+            path.append((state, j))
         at = int(back[j, kind, state])
-    return sorted({*out, *_rests(has[:n], has[n:], weight, out, m.contained), *((i, j) for j, i in _rests(has[n:], has[:n], weight, [(j, i) for i, j in out], m.contained))})
+    return path
 
 
-def _rests(a: np.ndarray, b: np.ndarray, weight: np.ndarray, pairs: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
-    """Pairs for rows of ``a`` left out of ``pairs`` that lie in what a row of ``b`` holds besides its partners.
+def align(source: list[str], target: list[str], glossary: Glossary, m: Model = Model()) -> list[tuple[int, int]]:
+    """Pairs (source_no, target_no) of the most likely path.
 
-    Spans cover neighbours only; this finds the half of a merge that was moved from elsewhere.
+    The states are the source sentences and the spans of two neighbours. Where a sentence is left
+    without a partner although another sentence's rendering holds most of it, the text is decoded
+    once more with states for that: spans of the sentences that one target sentence holds, neighbours
+    or not, and remainders, which emit what a sentence's other renderings leave of it. These states
+    have the log weight ``seen``, as a sentence that holds what they emit was seen.
     """
+    n, k = len(source), len(target)
+    if not n or not k:
+        return []
+    found = [features(s, glossary) for s in source + target]
+    both = set().union(*(f | o for f, o in found[:n])) & set().union(*(f | o for f, o in found[n:]))
+    rows = [f | (o & both) for f, o in found]
+    index: dict[str, int] = {}
+    for row in rows:
+        for x in row:
+            index.setdefault(x, len(index))
+    if not index:
+        return []
+    has = np.zeros((n + k, len(index)), np.float32)
+    for i, row in enumerate(rows):
+        has[i, [index[x] for x in row]] = 1
+    worth = np.array([{"#": 1.5, "n": 2.0, "c": 1.0}[x[0]] for x in index], np.float32)
+    weight = worth / np.maximum(1, np.maximum(has[:n].sum(0), has[n:].sum(0))) ** 0.5
+    a, b = has[:n], has[n:]
+    states = States.of(a, m)
+    path = _decode(states, n, b, weight, m)
+    pairs = {(i, j) for state, j in path for i in states.members[state]}
+    apart = _held(a, b, weight, pairs, m.contained)
+    parts = _held(b, a, weight, {(j, i) for i, j in pairs}, m.contained)
+    if apart or parts:
+        whole: dict[int, set[int]] = {j: set() for _, j in apart}
+        for i, j in [*pairs, *apart]:
+            if j in whole:
+                whole[j].add(i)
+        spans = sorted({tuple(sorted(x)) for x in whole.values()})
+        if spans:
+            states = states.also([a[list(x)].max(0) for x in spans], spans, m.seen)
+        if parts:
+            rests = [(i, a[i] * (1 - b[[y for x, y in pairs if x == i]].max(0, initial=0))) for _, i in parts]
+            states = states.also([r for _, r in rests], [(i,) for i, _ in rests], m.seen)
+        path = _decode(states, n, b, weight, m)
+        pairs = {(i, j) for state, j in path for i in states.members[state]}
+    return sorted(pairs)
+
+
+def _held(a: np.ndarray, b: np.ndarray, weight: np.ndarray, pairs: set[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """(i, j) for rows of ``a`` left out of ``pairs`` that lie in what a row of ``b`` holds besides its partners."""
     left = sorted(set(range(len(a))) - {i for i, _ in pairs})
     if not left:
         return []

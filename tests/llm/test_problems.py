@@ -328,6 +328,22 @@ def test_alignment_of_moved_and_divided_sentences():
     assert alignment.sentences("One. Two? Three! “Four.” 5.5 six") == ["One.", "Two?", "Three!", "“Four.” 5.5 six"]
 
 
+def test_alignment_of_terms_of_several_words():
+    terms = alignment.Glossary([("feed pump", "питательный насос"), ("pump", "помпа"), ("control room", "пульт"), ("valve", "клапан"), (" steam  trap ", "конденсатоотводчик")])
+    s = ["The feed pumps were old.", "The control room was cold.", "A pump and a valve.", "Steam traps hiss."]
+    t = ["Пульт остыл.", "Питательные насосы стары.", "Помпа и клапан.", "Шипят конденсатоотводчики."]
+    assert alignment.align(s, t, terms) == [(0, 1), (1, 0), (2, 2), (3, 3)]
+    assert not alignment.features("the feed of a pump", terms)[0] & alignment.features("the feed pump", terms)[0]
+
+
+def test_alignment_of_halves_that_moved():
+    terms = alignment.Glossary([(w, w.upper()) for w in WORDS])
+    s = ["Amber basin cable delta.", "Ember flint grove haven.", "Inlet jetty kiosk ledge.", "Manor north ochre plume."]
+    t = ["amber basin cable delta manor north ochre plume.", "ember flint grove haven.", "inlet jetty kiosk ledge."]
+    assert alignment.align(s, t, terms) == [(0, 0), (1, 1), (2, 2), (3, 0)]
+    assert alignment.align(t, s, terms) == [(0, 0), (0, 3), (1, 1), (2, 2)]
+
+
 def test_alignment_of_long_texts():
     terms = alignment.Glossary([(f"{w}{a}", f"{w}{a}".upper()) for w in WORDS for a in "bcdfg"])
     rng = random.Random(3)
