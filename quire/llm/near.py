@@ -22,7 +22,9 @@ from .minhash import WordHashes, bands, shingles, signatures
 from .text import WORD
 
 _ROWS, _BANDS, _BITS = 4, 28, 160
-_ENTRY = np.dtype([("key", "<u8"), ("w0", "<u8"), ("w1", "<u8"), ("w2", "<u4"), ("set", "<u4")])
+_ENTRY = np.dtype([("key", "<u8"), ("w0", "<u8"), ("w1", "<u8"), ("w2", "<u4"), ("set", "<u8")])
+#: Entries that a shard is to have; the number of shards follows the number of records.
+_SHARD = 250_000
 
 
 def _sketches(signature: np.ndarray) -> np.ndarray:
@@ -35,14 +37,6 @@ def _sketches(signature: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _ids(points: np.ndarray) -> np.ndarray:
-    """One 64-bit id per sketch."""
-    value = points[:, 0].copy()
-    for j in range(1, points.shape[1]):
-        value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) + points[:, j]
-    return (value ^ (value >> np.uint64(29))).view(np.int64)
-
-
 class Batch:
     """Sets, minima and sketches of a batch of texts; short texts are left out."""
 
@@ -75,7 +69,7 @@ def _entries(min_words: int, parts: int):
                 if h not in seen:
                     seen.add(h)
                     fresh.append(i)
-                    sets.append(h & 0xFFFFFFFF)
+                    sets.append(h)
             if len(seen) > 2_000_000:
                 seen.clear()
             fresh = np.array(fresh, np.int64)
@@ -88,7 +82,7 @@ def _entries(min_words: int, parts: int):
             entries["key"] = (key & ~np.uint64(0xFFFF) | size[:, None]).ravel()
             for j, name in enumerate(("w0", "w1", "w2")):
                 entries[name] = np.repeat(points[:, j], _BANDS)
-            entries["set"] = np.repeat(np.array(sets, np.uint32), _BANDS)
+            entries["set"] = np.repeat(np.array(sets, np.uint64), _BANDS)
             part = (key >> np.uint64(40)).ravel() % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
@@ -103,18 +97,18 @@ def _points(entries: np.ndarray) -> np.ndarray:
     return np.stack([entries["w0"], entries["w1"], entries["w2"].astype(np.uint64)], 1)
 
 
-def _pairs(points: np.ndarray, size: np.ndarray, others: np.ndarray, other_size: np.ndarray, root: np.ndarray, forest: Forest, radius: int, least: float, same: bool) -> pd.DataFrame:
-    """Candidate pairs of ids, each once, within the radius and with sizes that can reach the threshold."""
-    ids, other_ids = _ids(points), _ids(others)
+def _pairs(entries: np.ndarray, others: np.ndarray, root: np.ndarray, forest: Forest, radius: int, least: float, same: bool) -> pd.DataFrame:
+    """Candidate pairs of sets, each once, within the radius and with sizes that can reach the threshold."""
+    size, other_size = ((x["key"] & np.uint64(0xFFFF)).astype(np.float64) for x in (entries, others))
     found = []
-    for q, node in forest.search(others, root, radius):
+    for q, node in forest.search(_points(others), root, radius):
         ok = np.minimum(other_size[q], size[node]) >= least * np.maximum(other_size[q], size[node])
         if same:
             ok &= q < node
-        a, b = other_ids[q[ok]], ids[node[ok]]
+        a, b = others["set"][q[ok]], entries["set"][node[ok]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    # Two different sets may have one sketch: the pair of an id with itself.
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -127,11 +121,12 @@ def _starts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, starts, np.diff(np.append(starts, len(entries)))
 
 
-def _shards(radius: int, least: float, hot: int, held: int = 4_000_000):
+def _shards(radius: int, least: float, hot: int, held: int = 2 * _SHARD):
     """Search the trees of a shard; buckets above ``hot`` members come out as chunks instead, to be searched in cells.
 
-    A task holds about ``held`` entries: before it takes in more, the members of hot buckets leave
-    as chunks, and later members of these buckets follow them.
+    A shard has about ``_SHARD`` entries, as there are shards enough; what can make it larger is a hot
+    bucket. Beyond ``held`` entries the members of hot buckets leave as chunks before more is taken in,
+    and later members of these buckets follow them. The last chunk of a bucket tells their number.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +160,14 @@ def _shards(radius: int, least: float, hot: int, held: int = 4_000_000):
             return
         out, entries = leave(entries)
         yield from out
+        if chunks:
+            yield pd.DataFrame({"a": np.fromiter(chunks, np.int64, len(chunks)), "b": np.fromiter(chunks.values(), np.int64, len(chunks)) + 1, "blob": b""})
         bucket, _, n = _starts(entries)
         keep = np.repeat(n > 1, n)
         entries, bucket = entries[keep], bucket[keep]
         if len(entries):
-            points, size = _points(entries), (entries["key"] & np.uint64(0xFFFF)).astype(np.float64)
-            forest = Forest(points, bucket)
-            yield _pairs(points, size, points, size, forest.root, forest, radius, least, True).assign(blob=None)
+            forest = Forest(_points(entries), bucket)
+            yield _pairs(entries, entries, forest.root, forest, radius, least, True).assign(blob=None)
 
     return run
 
@@ -183,17 +179,15 @@ def _cells(radius: int, least: float):
         for frame in frames:
             for r in frame.itertuples(index=False):
                 a, b = np.frombuffer(r.own, _ENTRY), np.frombuffer(r.other, _ENTRY)
-                points, others = _points(a), _points(b)
-                sizes = [(x["key"] & np.uint64(0xFFFF)).astype(np.float64) for x in (a, b)]
-                forest = Forest(points, np.zeros(len(points), np.int64))
-                yield _pairs(points, sizes[0], others, sizes[1], np.zeros(len(others), np.int64), forest, radius, least, r.i == r.j)
+                forest = Forest(_points(a), np.zeros(len(a), np.int64))
+                yield _pairs(a, b, np.zeros(len(b), np.int64), forest, radius, least, r.i == r.j)
 
     return run
 
 
-def _sets(min_words: int, bitmap: np.ndarray):
-    """Rows (rec, set_hash, id, grams): the set only where the bitmap says that its id may be a candidate."""
-    mask = np.uint64(len(bitmap) * 64 - 1)
+def _sets(min_words: int, bits: np.ndarray):
+    """Rows (rec, set_hash, grams): the set only where the bitmap says that it may have a candidate. No minima are needed again."""
+    mask = np.uint64(len(bits) * 64 - 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -201,45 +195,48 @@ def _sets(min_words: int, bitmap: np.ndarray):
             batch = Batch(frame.rec.tolist(), frame.text.tolist(), min_words, hashes)
             if not batch.recs:
                 continue
-            ids = _ids(_sketches(batch.signatures()))
-            slot = ids.view(np.uint64) & mask
-            wanted = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            raw = [batch.grams(i).tobytes() for i in range(len(ids))]
-            yield pd.DataFrame({"rec": batch.recs, "set_hash": np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64), "id": ids, "grams": [x if w else None for x, w in zip(raw, wanted)]})
+            raw = [batch.grams(i).tobytes() for i in range(len(batch.recs))]
+            sets = np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64)
+            slot = sets & mask
+            wanted = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pd.DataFrame({"rec": batch.recs, "set_hash": sets.view(np.int64), "grams": [x if w else None for x, w in zip(raw, wanted)]})
 
     return run
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``2 ** bits`` over the low bits of the ids: bounded, whatever the data, and without misses."""
+def _bitmap(sets: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` over the low bits of the set hashes: bounded, whatever the data, and without misses."""
     low = F.col("id").bitwiseAND((1 << bits) - 1)
-    words = ids.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, int(id & 63))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = sets.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, int(id & 63))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     out = np.zeros(1 << (bits - 6), np.uint64)
     frame = words.toPandas()
     out[frame["word"].to_numpy()] = frame["mask"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _candidates(texts: DataFrame, min_words: int, threshold: float, deviations: float, hot: int) -> DataFrame:
-    """(a, b): distinct pairs of sketch ids that may belong to sets of the threshold's similarity."""
-    spark = texts.sparkSession
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _candidates(texts: DataFrame, n_records: int, min_words: int, threshold: float, deviations: float, hot: int) -> DataFrame:
+    """(a, b): distinct pairs of set hashes that may reach the threshold's similarity."""
+    # Shards by the number of records: a shard keeps its size as the data grow.
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_records * _BANDS // _SHARD))
     # Bits of the sketches differ with (1 - J) / 2 each.
     p = (1 - threshold) / 2
     radius = int(_BITS * p + deviations * (_BITS * p * (1 - p)) ** 0.5)
-    blobs = spread(texts).mapInPandas(_entries(min_words, parts), "part int, blob binary").repartition(parts // 8, "part")
+    blobs = spread(texts).mapInPandas(_entries(min_words, parts), "part int, blob binary").repartitionById(parts, "part")
     found = cut(blobs.mapInPandas(_shards(radius, threshold, hot), "a bigint, b bigint, blob binary"))
-    chunks = found.where("blob is not null")
-    own, other = chunks.select("a", F.col("b").alias("i"), F.col("blob").alias("own")), chunks.select("a", F.col("b").alias("j"), F.col("blob").alias("other"))
-    cells = own.join(other, "a").where("i <= j").select("i", "j", "own", "other").repartition("i", "j")
-    return found.where("blob is null").select("a", "b").union(cells.mapInPandas(_cells(radius, threshold), "a bigint, b bigint")).distinct()
+    # Cells are counted out of one narrow row per hot bucket; the chunks then meet by (bucket, number), never all of a bucket at once.
+    chunks = found.where("length(blob) > 0").select("a", "b", "blob")
+    firsts = found.where("length(blob) = 0").select("a", F.col("b").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1)).alias("i"))
+    cells = firsts.repartition("a", "i").select("a", "i", F.explode(F.sequence("i", F.col("n") - 1)).alias("j"))
+    full = cells.join(chunks.select("a", F.col("b").alias("i"), F.col("blob").alias("own")), ["a", "i"]).join(chunks.select("a", F.col("b").alias("j"), F.col("blob").alias("other")), ["a", "j"])
+    across = full.select("i", "j", "own", "other").mapInPandas(_cells(radius, threshold), "a bigint, b bigint")
+    return found.where("blob is null").select("a", "b").union(across).distinct()
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(set_a, set_b): different sets, candidates of each other, whose similarity reaches the threshold."""
-    one = sets.where("grams is not null").groupBy("id", "set_hash").agg(F.first("grams").alias("grams"))
-    a, b = one.select(F.col("id").alias("a"), F.col("set_hash").alias("set_a"), F.col("grams").alias("grams_a")), one.select(F.col("id").alias("b"), F.col("set_hash").alias("set_b"), F.col("grams").alias("grams_b"))
-    rows = candidates.join(a, "a").join(b, "b").where("a <> b or set_a < set_b").select("set_a", "set_b", "grams_a", "grams_b")
+    one = sets.where("grams is not null").groupBy("set_hash").agg(F.first("grams").alias("grams"))
+    a, b = one.select(F.col("set_hash").alias("a"), F.col("grams").alias("grams_a")), one.select(F.col("set_hash").alias("b"), F.col("grams").alias("grams_b"))
+    rows = candidates.join(a, "a").join(b, "b").select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "grams_a", "grams_b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -250,15 +247,16 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
                 keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
             yield f.loc[keep, ["set_a", "set_b"]]
 
-    return rows.mapInPandas(run, "set_a bigint, set_b bigint").select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b")).distinct()
+    return rows.mapInPandas(run, "set_a bigint, set_b bigint")
 
 
 def _near(records: DataFrame, threshold: float, min_words: int, deviations: float, hot: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Members (rec, set_hash) and links (set_a, set_b) between different sets."""
     texts = records.where("rec is not null and text is not null").select("rec", "text")
-    candidates = cut(_candidates(texts, min_words, threshold, deviations, hot))
+    # Counting rows reads no column, only the files' footers.
+    candidates = cut(_candidates(texts, records.count(), min_words, threshold, deviations, hot))
     bitmap = _bitmap(candidates.select(F.explode(F.array("a", "b")).alias("id")), bits)
-    sets = cut(spread(texts).mapInPandas(_sets(min_words, bitmap), "rec string, set_hash bigint, id bigint, grams binary"))
+    sets = cut(spread(texts).mapInPandas(_sets(min_words, bitmap), "rec string, set_hash bigint, grams binary"))
     return sets.select("rec", "set_hash").distinct(), cut(_verified(candidates, sets, threshold))
 
 
@@ -267,9 +265,11 @@ def near_pairs(records: DataFrame, threshold: float = 0.6, min_words: int = 12,
 
     Similarity is that of the distinct pairs of adjacent words (lower case, runs of letters and
     digits); records under ``min_words`` words, null and empty texts have no pairs; a record
-    delivered again counts once; copies are pairs. The bands find a pair at exactly 0.6 with a
-    probability of 0.98 and at 0.7 with 0.9995, the radius loses less than one in a thousand at
-    the threshold; every pair that comes out has been verified on the whole sets.
+    delivered again counts once; copies are pairs.
+    The bands, not the trees, bound the recall: a tree holds the records of one band's bucket, so two
+    records meet in a tree only if they agree in one of the bands. That finds a pair at exactly 0.6
+    with a probability of 0.98 and at 0.7 with 0.9995; the trees' radius loses less than one in a
+    thousand at the threshold. Every pair that comes out has been verified on the whole sets.
     """
     members, links = _near(records, threshold, min_words, deviations, hot, bits)
     a, b = members.select(F.col("set_hash").alias("set_a"), F.col("rec").alias("x")), members.select(F.col("set_hash").alias("set_b"), F.col("rec").alias("y"))
