@@ -307,6 +307,38 @@ def test_language(text, lang):
     assert pairs.language(text) == lang
 
 
+def test_language_by_profiles(spark):
+    assert pairs.language("Después del invierno la bomba se mueve por el canal the y no para sin freno.") == "es"
+    rng = random.Random(9)
+    made = lambda seed, n: " ".join(random.Random(seed).choice(WORDS) for _ in range(n))
+    df = spark.createDataFrame([(f"j{i}", "en", made(i, 30)) for i in range(200)] + [(f"k{i}", "ru", "один") for i in range(3)] + [("n", None, "x"), ("m", "en", None)], "job_id string, src string, source_text string")
+    profiles = pairs.fit_profiles(df)
+    assert set(profiles) == {"en"} and pairs.fit_profiles(df.where(F.lit(False))) == {}
+    assert pairs.language(made(999, 12), profiles) == "en" and pairs.language("der Zug ist nicht mit dem Zug zu der Stadt und das", profiles) == "de" and rng
+
+
+def test_opening_clusters(spark):
+    texts = [f"w{i} alpha beta gamma delta x{i % 3}" for i in range(40)] + ["one two three four five six", "seven eight nine ten eleven twelve"]
+    df = spark.createDataFrame([(t.split(),) for t in texts], "opening array<string>")
+    rows = df.withColumn("opening_hash", F.xxhash64("opening")).join(pairs.opening_clusters(df), "opening_hash").collect()
+    of = {r.opening_hash: r.opening for r in rows}
+    for r in rows:
+        a, b = (set(zip(x, x[1:])) for x in (r.opening, of[r.cluster]))
+        assert len(a & b) >= 0.5 * len(a | b)
+    # Three of five shingles in common make less than half of either's: only windows that differ at one end meet.
+    most = max(sum(r.cluster == c for r in rows) for c in of)
+    assert most >= 10 and len({r.opening_hash for r in rows}) == 42
+
+
+def test_figures_tell_renderings_from_templates(spark):
+    body = "К сожалению, я не могу перевести этот отрывок"
+    jobs = spark.createDataFrame([((f"j{i}", "en", "ru"), (f"{WORDS[i]} {WORDS[i + 7]} {WORDS[(i * 5) % 26 - 1]} stands at {i + 100}.",)) for i in range(12)], "job struct<job_id:string,source_language:string,target_language:string>, payload struct<source_text:string>")
+    # 163 and 100 are one modulo 63; only the very figure tells.
+    out = spark.createDataFrame([(f"j{i}", f"{body} {i + 100 if i == 5 else i + 163}.", "s") for i in range(12)], "job_id string, translated_text string, source string")
+    got = {r.job_id: r.defect for r in pairs.defective_pairs(jobs, out).collect()}
+    assert got == {f"j{i}": "refusal" for i in range(12) if i != 5}
+
+
 # 7 alignment
 
 
