@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -44,8 +44,8 @@ _LONE = re.compile(rf"[\s—–\-\[(·|.]*(?:page|p\.|стр\.|с\.|seite)?\s*({
 _LEAD = re.compile(rf"({_NUMBER})(?:\s*[|·—–-]\s*|\s+)(?=[^\W\d_])")
 _TRAIL = re.compile(rf"(?:(?:[|·—–-]\s*)|\s)({_NUMBER})$")
 _CAPTION = re.compile(r"(?:figure|fig\.|table|рис\.|рисунок|табл\.|таблица)\s", re.IGNORECASE)
-_LONGEST_LINE = 90
 _STOPS = ".,;?!:" + MARKS
+_FEW_LETTERS = 6
 
 
 def number(token: str) -> tuple[int | None, bool]:
@@ -150,8 +150,10 @@ def _joined(text: str) -> str:
 
 def pages(ocr: DataFrame) -> DataFrame:
     """(doc_id, page_num, blocks): the blocks of a page in reading order, each once."""
+    if "confidence" not in ocr.columns:
+        ocr = ocr.withColumn("confidence", F.lit(None).cast("double"))
     rows = ocr.where("doc_id is not null and block_id is not null and text is not null")
-    block = F.struct(F.coalesce("reading_order", F.lit(0)).alias("ro"), "block_id", "text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    block = F.struct(F.coalesce("reading_order", F.lit(0)).alias("ro"), "block_id", "text", "confidence")
     # Blocks without a page number stand alone, so that they make no page without bound.
     own = F.coalesce("page_num", (-1 - F.pmod(F.xxhash64("block_id"), F.lit(1_000_000_000))).cast("int"))
     return rows.groupBy("doc_id", own.alias("page_num")).agg(F.array_sort(F.collect_set(block)).alias("blocks"))
@@ -159,7 +161,7 @@ def pages(ocr: DataFrame) -> DataFrame:
 
 def _flat(paged: DataFrame) -> DataFrame:
     """One row per block again, with whether it is the first of its page."""
-    return paged.select("doc_id", "page_num", F.posexplode("blocks").alias("at", "b")).select("doc_id", "page_num", "b.block_id", "b.text", (F.col("at") == 0).alias("top"))
+    return paged.select("doc_id", "page_num", F.posexplode("blocks").alias("at", "b")).select("doc_id", "page_num", "b.block_id", "b.text", "b.confidence", (F.col("at") == 0).alias("top"))
 
 
 def _header_parts(line: str) -> tuple[str, str]:
@@ -184,7 +186,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = text.split("\n")
             for at, line in enumerate(lines):
                 s = line.strip()
-                if not s or len(s) > _LONGEST_LINE:
+                if not s:
                     continue
                 if (m := _LONE.fullmatch(s)) and number(m[1])[0] is not None:
                     value, misread = number(m[1])
@@ -193,7 +195,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if s[0].islower() and not _LEAD.match(s) or s[-1] in _STOPS and not (s[-1] == "." and s[-2:-1].isdigit()) or _CAPTION.match(s):
                     continue
                 key, token = _header_parts(s)
-                if len(key) < 6:
+                if not key:
                     continue
                 value, misread = number(token) if token else (None, False)
                 rows.append((doc, page, block, at, key, value, misread, False, len(lines) == 1, top))
@@ -226,7 +228,9 @@ def page_furniture(paged: DataFrame, least_pages: int = 3, least_share: float =
     nearly = F.coalesce(F.col("value").isNotNull() & off & recurs, F.lit(False))
     bare = F.coalesce((F.col("on_pages") >= least_pages) & (F.col("on_pages") >= least_share * F.col("n_pages")) & (F.col("on_numbered") * 2 < F.col("on_pages")), F.lit(False))
     # A line of running text may end with the number of its page by chance: a running line recurs, or stands apart.
-    apart = F.col("lone") | F.coalesce(F.col("on_pages") >= 2, F.lit(False)) | F.col("whole") | F.col("top")
+    # One of a few letters (a measure, say) must recur with the numbers of its pages.
+    few = F.length("key") < _FEW_LETTERS
+    apart = F.col("lone") | F.when(few, recurs).otherwise(F.coalesce(F.col("on_pages") >= 2, F.lit(False)) | F.col("whole") | F.col("top"))
     exact = exact & apart
     running = ~F.col("lone") & (exact | nearly | bare)
     numbered = exact | nearly & ~F.col("lone")
@@ -282,7 +286,7 @@ def lexicon(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def corrections(words: DataFrame, most: float = 0.95) -> DataFrame:
-    """(word, fixes, counts, n_clean, n_seen): words of the scans that may be misreadings, with up to three corrections, best first.
+    """(word, fixes, counts, n_clean, n_seen): words of the scans that may be misreadings, with all their corrections, best first.
 
     A candidate comes from the symmetric-delete index over the lexicon; it must be far more
     frequent than the word and within ``most`` of the weighted distance: up to three confusions and
@@ -317,7 +321,7 @@ def corrections(words: DataFrame, most: float = 0.95) -> DataFrame:
     # Words that only scans have correct nothing that a word of clean texts can correct.
     best = judged.withColumn("any_clean", F.max("clean").over(W.partitionBy("word"))).where("clean = any_clean")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("word").orderBy("cost", F.desc("n_fix"), "fix")))
-    listed = ranked.where("rank <= 3").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "fix", "fix_clean"))).alias("f"))
+    listed = ranked.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "fix", "fix_clean"))).alias("f"))
     return listed.join(suspects, "word").select("word", F.col("f.fix").alias("fixes"), F.col("f.fix_clean").alias("counts"), "n_clean", (F.col("n_scan") + F.col("n_broken")).alias("n_seen"))
 
 
@@ -353,13 +357,37 @@ def _open_contexts(bitmap: np.ndarray):
     return run
 
 
-def open_readings(paged: DataFrame, doubtful: DataFrame, words: DataFrame, clean: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+def _level(confidence: str = "confidence") -> Column:
+    """The tenth of the scanner's confidence, -1 where it gives none or a figure out of bounds."""
+    c = F.col(confidence)
+    return F.when(c.between(0, 1), F.least(F.floor(c * 10), F.lit(9))).otherwise(-1).cast("int")
+
+
+def confidence_odds(paged: DataFrame, sure: DataFrame) -> DataFrame:
+    """(level, weight): how much likelier blocks of a level of confidence bear misread words than all blocks, as log odds.
+
+    ``sure(doc_id, block_id)`` are the blocks with words that are misread wherever they stand. Eleven
+    rows, whatever the data. Where the scanner's figures tell nothing the weights are near zero.
+    """
+    marked = paged.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block_id", _level("b.confidence").alias("level")).join(sure.distinct().withColumn("bad", F.lit(1)), ["doc_id", "block_id"], "left")
+    counts = marked.groupBy("level").agg(F.count("bad").alias("bad"), F.count("*").alias("n"))
+    every = W.partitionBy()
+    bad, fine = F.col("bad"), F.col("n") - F.col("bad")
+    # Each level is smoothed with twenty blocks like all others.
+    share = F.sum("bad").over(every) / F.sum("n").over(every)
+    own = (bad + 20 * share) / (F.col("n") + 20)
+    return counts.select("level", F.coalesce(F.log(own / (1 - own)) - F.log(share / (1 - share)), F.lit(0.0)).alias("weight"))
+
+
+def open_readings(paged: DataFrame, doubtful: DataFrame, words: DataFrame, clean: DataFrame, apart: DataFrame | None = None, sure: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_num, block_id, word, before, after, fix): occurrences of words of clean texts that are misread all the same.
 
     ``doubtful`` are the ``corrections`` with ``n_clean`` > 0. The odds that an occurrence is misread are those of
     the scans' surplus over the rate of the clean texts, times how much likelier the words beside
     it are next to the fix than next to the word, by the word pairs of ``clean(text)``; each side
-    is smoothed with the frequency of the neighbour. ``apart(doc_id, block_id, word)`` adds occurrences without neighbours.
+    is smoothed with the frequency of the neighbour. With ``sure(doc_id, block_id)`` the scanner's confidence
+    in the block adds what ``confidence_odds`` finds it to be worth. ``apart(doc_id, block_id, word)`` adds
+    occurrences without neighbours.
     """
     size = words.agg(F.sum("n_clean").alias("c"), F.sum(F.col("n_scan") + F.col("n_broken")).alias("s")).head()
     total, share = float(size.c or 1), float(size.s or 0) / float(size.c or 1)
@@ -387,7 +415,13 @@ def open_readings(paged: DataFrame, doubtful: DataFrame, words: DataFrame, clean
     due = F.col("n_clean") * share
     prior = F.log(F.greatest((F.col("n_seen") - due) / due, 0.01 * F.col("n_fix") / F.col("n_clean")))
     odds = prior + likelier("fl", "wl", "l", "before") + likelier("fr", "wr", "r", "after")
-    return got.withColumn("odds", odds).where("odds > 0").groupBy(*key).agg(F.max_by("fix", F.struct("odds", "n_fix", "fix")).alias("fix"))
+    rated = got.withColumn("odds", odds)
+    if sure is not None:
+        levels = paged.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block_id", _level("b.confidence").alias("level"))
+        known = levels.join(got.select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_semi").groupBy("doc_id", "block_id").agg(F.min("level").alias("level"))
+        worth = known.join(F.broadcast(confidence_odds(paged, sure)), "level").select("doc_id", "block_id", "weight")
+        rated = rated.join(worth, ["doc_id", "block_id"], "left").withColumn("odds", F.col("odds") + F.coalesce("weight", F.lit(0.0)))
+    return rated.where("odds > 0").groupBy(*key).agg(F.max_by("fix", F.struct("odds", "n_fix", "fix")).alias("fix"))
 
 
 def _figures_read(token: str) -> bool:
@@ -479,7 +513,7 @@ def _first_word(text: str) -> str | None:
         m = _WORD.match(s)
         if m and m[0][0].islower():
             return m[0].lower()
-        if len(s) <= _LONGEST_LINE and _header_parts(s)[1]:
+        if _header_parts(s)[1]:
             continue
         return None
     return None
@@ -530,7 +564,7 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     wrong, doubtful = judged.where("n_clean = 0").select("word", "fixes"), judged.where("n_clean > 0")
     tokens = _flat(paged).mapInPandas(_odd_words(_bitmap(wrong)), "doc_id string, block_id string, word string")
     # The bitmap lets some other words through; the join settles it.
-    listed = tokens.join(wrong.select("word"), "word").select("doc_id", "block_id")
+    listed = cut(tokens.join(wrong.select("word"), "word").select("doc_id", "block_id").distinct())
     figures = tokens.where("word is null").select("doc_id", "block_id").union(furniture.where("misread").select("doc_id", "block_id"))
     # Of a word in two blocks the part that the correction changes was misread.
     fix = F.col("fixes")[0]
@@ -539,7 +573,7 @@ def scan_noise(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
     if not doubtful.isEmpty():
         clean = blocks.where(~F.coalesce(F.array_contains("flags", "ocr"), F.lit(False))).select("text")
         both = _apart(broken).select("doc_id", "block_id", "other", "left", "word")
-        read = open_readings(paged, doubtful, lexical, clean, both)
+        read = open_readings(paged, doubtful, lexical, clean, both, listed)
         # An occurrence over two blocks has no page.
         over = read.where("page_num is null").join(both, ["doc_id", "block_id", "word"]).select("doc_id", F.when(F.startswith("fix", "left"), F.col("other")).otherwise(F.col("block_id")).alias("block_id"))
         misread = misread.union(read.where("page_num is not null").select("doc_id", "block_id")).union(over)

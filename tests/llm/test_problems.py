@@ -145,6 +145,25 @@ def test_paragraph_over_many_pages(spark):
     assert out == [(1, "Alpha ends here. Beta begins runs through one whole page and the harbour then goes on to its end."), (4, "Delta is open"), (5, "Gamma is new and goes on."), (8, "lone tail.")]
 
 
+def test_running_lines_of_any_length(spark, book):
+    clean, _ = book
+    long = "The complete and annotated history of the harbour of the northern lantern and of its narrow furnaces "
+    rows = [("s", f"h{p}", p, 0, f"Notes {p + 4}", None, "w") for p in range(1, 31)] + [("s", f"t{p}", p, 1, clean[p], 0.5, "w") for p in range(1, 31)]
+    rows += [("l", f"h{p}", p, 0, f"{long}{p}", 0.1, "w") for p in range(1, 31)] + [("l", f"t{p}", p, 1, clean[-p] if p != 7 else "It weighs\n7 kg", 7.0, "w") for p in range(1, 31)]
+    blocks = spark.createDataFrame([(t, None) for t in clean], "text string, flags array<string>")
+    got = {(r.doc_id, r.block_id, r.noise) for r in scans.scan_noise(spark.createDataFrame(rows, OCR), blocks).collect()}
+    assert got == {(d, f"h{p}", n) for d in "sl" for p in range(1, 31) for n in ("running_line", "page_number")}
+    said = " ".join(r.text for r in scans.paragraphs(spark.createDataFrame(rows, OCR), blocks).collect())
+    assert "Notes" not in said and all(t in said for t in clean[1:31]) and "It weighs 7 kg" in said
+
+
+def test_confidence_weighs_what_it_tells(spark):
+    rows = [("d", f"b{i}", i, 0, "text", c, "w") for i, c in enumerate([0.95, 0.95, 0.2, None, 7.0] * 40)]
+    sure = spark.createDataFrame([("d", f"b{i}") for i in range(200) if i % 5 == 2 or i % 25 == 0], "doc_id string, block_id string")
+    weight = {r.level: r.weight for r in scans.confidence_odds(scans.pages(spark.createDataFrame(rows, OCR)), sure).collect()}
+    assert set(weight) == {9, 2, -1} and weight[2] > 1 and weight[9] < 0
+
+
 def test_scans_of_nothing(spark):
     blocks = spark.createDataFrame([], "text string, flags array<string>")
     empty = spark.createDataFrame([], OCR)
