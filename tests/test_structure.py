@@ -36,6 +36,25 @@ def test_footnotes_use_every_body_once(spark):
     assert len(got) == 4
 
 
+def test_note_pairs_equal_plain_search():
+    import random
+
+    import numpy as np
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        bodies = sorted((rng.randrange(6), rng.choice("1239")) for _ in range(rng.randrange(9)))
+        marks = sorted((rng.randrange(6), rng.choice("1234")) for _ in range(rng.randrange(12)))
+        free, want = set(range(len(bodies))), []
+        for page, key in marks:
+            own = sorted((abs(bodies[i][0] - page), bodies[i][0], i) for i in free if bodies[i][1] == key) or sorted((9, 9, i) for i in free if bodies[i][0] == page)
+            want.append(own[0][2] if own else -1)
+            free.discard(want[-1])
+        column = lambda rows, k, t: np.array([r[k] for r in rows], t)
+        got, _ = structure._note_pairs(column(marks, 0, int), column(marks, 1, object), column(bodies, 0, int), column(bodies, 1, object))
+        assert got.tolist() == want
+
+
 def test_sections_without_headings_or_content(spark):
     one = structure.sections(make(spark, [block(1, 2, "paragraph", "a"), block(2, 5, "paragraph", "b")])).collect()
     assert [(r.section_id, r.title, r.start_page, r.end_page, r.confidence) for r in one] == [("sec-0001", "Document", 2, 5, 0.45)]
