@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..session import cut
+from . import complexity
 from .ordered import neighbours, running
 from .structure import ORDER
 
@@ -111,6 +112,32 @@ def split_complex(scored: DataFrame, least: float = 0.74, max_blocks: int = 8) -
     return big.select("doc_id", F.col("chunk_id").alias("parent"), "block_ids", F.explode(starts).alias("i")).select("doc_id", F.format_string("%s-s%d", "parent", F.col("i") + 1).alias("chunk_id"), "parent", F.array_join(F.slice("block_ids", F.col("i") * size + 1, F.lit(size)), ",").alias("block_ids"))
 
 
+def adapted(scored: DataFrame, blocks: DataFrame, least: float = 0.74, max_chars: int = 1400, max_blocks: int = 8) -> DataFrame:
+    """doc_id, chunk_id, source_ids, chunk_type, block_ids, source_text, token_estimate: hard chunks split, easy neighbours joined.
+
+    ``scored`` is that of ``complexity.assess`` over ``chunks``. Pieces have the texts of their blocks and are
+    rated again before joining; ``source_ids`` are the chunks that a row comes from.
+    """
+    base = scored.select("doc_id", "chunk_no", "chunk_id", "chapter_id", "chunk_type", "block_ids", "source_text", "score")
+    hard = (F.col("chunk_type") == "paragraph_group") & (F.col("score") >= least) & (F.size("block_ids") > 1)
+    size = max(1, max_blocks // 2)
+    members = base.where(hard).select("doc_id", "chunk_no", F.col("chunk_id").alias("parent"), "chapter_id", "chunk_type", F.posexplode("block_ids").alias("at", "block_id"))
+    placed = members.withColumn("piece", F.floor(F.col("at") / size).cast("int") + 1).join(blocks.select("doc_id", "block_id", X.strip("text").alias("t")), ["doc_id", "block_id"])
+    pieces = placed.groupBy("doc_id", "chunk_no", "parent", "chapter_id", "chunk_type", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "block_id", "t"))).alias("r"))
+    cut_up = pieces.select("doc_id", (F.col("chunk_no").cast("bigint") * 100_000 + F.col("piece")).alias("chunk_no"), F.format_string("%s-s%d", "parent", "piece").alias("chunk_id"), F.array("parent").alias("source_ids"), "chapter_id", "chunk_type", F.col("r.block_id").alias("block_ids"), F.array_join(F.filter(F.col("r.t"), lambda t: t != ""), "\n").alias("source_text"))
+    whole = base.where(~hard).select("doc_id", (F.col("chunk_no").cast("bigint") * 100_000).alias("chunk_no"), "chunk_id", F.array("chunk_id").alias("source_ids"), "chapter_id", "chunk_type", "block_ids", "source_text")
+    rows = cut(complexity.assess(whole.unionByName(cut_up)).withColumns({"n_blocks": F.size("block_ids"), "n_refs": F.lit(0)}))
+    pairs = cut(merge_pairs(rows.withColumn("n_refs", F.col("notes")), max_chars, max_blocks))
+    part = rows.select("doc_id", "chunk_id", "source_ids", "chunk_type", "block_ids", F.trim("source_text").alias("source_text"))
+    left, right = (part.select("doc_id", F.col("chunk_id").alias(name), F.struct("source_ids", "chunk_type", "block_ids", "source_text").alias(f"{name}_row")) for name in ("chunk_id", "with_id"))
+    both = pairs.join(left, ["doc_id", "chunk_id"]).join(right, ["doc_id", "with_id"])
+    a, b = F.col("chunk_id_row"), F.col("with_id_row")
+    joined = both.select("doc_id", F.concat_ws("+", "chunk_id", "with_id").alias("chunk_id"), F.concat(a["source_ids"], b["source_ids"]).alias("source_ids"), a["chunk_type"].alias("chunk_type"), F.concat(a["block_ids"], b["block_ids"]).alias("block_ids"), F.trim(F.concat_ws("\n", a["source_text"], b["source_text"])).alias("source_text"))
+    used = pairs.select("doc_id", F.explode(F.array("chunk_id", "with_id")).alias("chunk_id"))
+    out = part.join(used, ["doc_id", "chunk_id"], "left_anti").unionByName(joined)
+    return out.withColumn("token_estimate", F.greatest(F.lit(1), F.floor(F.length("source_text") / 4).cast("int")))
+
+
 def chunk_errors(chunk_rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, chunk_id, error: doubled ids, unknown types, missing blocks, bad page ranges, mixed kinds, empty texts."""
     ids = chunk_rows.select("doc_id", "chunk_id")

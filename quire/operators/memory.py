@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+try:
+    import ahocorasick
+except ImportError:  # lists of terms are joined then, of whatever length
+    ahocorasick = None
+
 from ..functions import similarity as S
 from ..functions import text as X
 
@@ -22,19 +29,46 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def containment(texts: DataFrame, text: str, terms: DataFrame, term: str, broadcast_rows: int = 20_000) -> DataFrame:
-    """Pairs of texts and terms where the term lies in the text, as a substring.
+def containment(texts: DataFrame, text: str, terms: DataFrame, term: str, matched_terms: int = 20_000) -> DataFrame:
+    """Pairs of texts and terms where the term lies in the text, as a substring (J04). Empty terms lie nowhere.
 
-    Up to ``broadcast_rows`` terms are sent to the texts, which then need no shuffle. A larger list
-    is joined on its first four characters with the distinct four-character pieces of the texts;
-    shorter terms are few by nature and take the first way.
+    Up to ``matched_terms`` different terms make one automaton per task that finds all of them in one pass over
+    a text. A larger list is joined on the first one to four characters of the terms with the distinct
+    pieces of that length of the texts.
     """
-    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
-    short, long = terms.where(F.length(term) < 4), terms.where(F.length(term) >= 4).withColumn("_k", F.left(term, F.lit(4)))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 3)), lambda i: F.substr(F.col(text), i, F.lit(4))))
-    keyed = texts.withColumn("_k", F.explode(pieces)).join(long, "_k").where(F.contains(F.col(text), F.col(term))).drop("_k")
-    return keyed.unionByName(texts.join(F.broadcast(short), F.contains(F.col(text), F.col(term))))
+    listed = terms.select(F.col(term).alias("term")).where("term <> ''").distinct().limit(matched_terms + 1).collect()
+    if len(listed) <= matched_terms and ahocorasick is not None:
+        words = [r.term for r in listed]
+        found = texts.withColumn("_hits", _finder(words)(F.col(text))) if words else texts.withColumn("_hits", F.array().cast("array<string>"))
+        return found.withColumn("_hit", F.explode("_hits")).drop("_hits").join(terms.withColumn("_hit", F.col(term)), "_hit").drop("_hit")
+    out = None
+    for width, last in ((1, False), (2, False), (3, False), (4, True)):
+        some = terms.where(F.length(term) >= width if last else F.length(term) == width).withColumn("_k", F.left(term, F.lit(width)))
+        keyed = texts.where(F.length(text) >= width).withColumn("_k", F.explode(F.array_distinct(_pieces(text, width)))).join(some, "_k").where(F.contains(F.col(text), F.col(term))).drop("_k")
+        out = keyed if out is None else out.unionByName(keyed)
+    return out
+
+
+def _pieces(text: str, width: int) -> Column:
+    """All pieces of ``width`` characters of a text that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substr(F.col(text), i, F.lit(width)))
+
+
+def _finder(words: list[str]):
+    """The different ones of ``words`` that lie in a text, as a column function."""
+    made: list = []
+
+    @F.pandas_udf("array<string>")
+    def find(column: pd.Series) -> pd.Series:
+        if not made:
+            machine = ahocorasick.Automaton()
+            for w in words:
+                machine.add_word(w, w)
+            machine.make_automaton()
+            made.append(machine)
+        return column.map(lambda t: sorted({w for _, w in made[0].iter(t)}) if t else [])
+
+    return find
 
 
 def clean_terms(glossary: DataFrame) -> DataFrame:
@@ -60,8 +94,8 @@ def fuzzy_terms(texts: DataFrame, glossary: DataFrame, least: float = 0.84, most
     A token that begins the term, or is begun by it, scores 0.9; others score their similarity
     ratio. Distinct tokens of all texts are scored once.
     """
-    terms = [r.key for r in bounded(clean_terms(glossary).select("key"), most_terms, "the glossary")]
-    counted = S.bags(terms)
+    terms = sorted(r.key for r in bounded(clean_terms(glossary).select("key"), most_terms, "the glossary"))
+    counted, whole = S.bags(terms), frozenset(terms)
     tokens = texts.select("id", F.explode(F.array_distinct(X.tokens("text"))).alias("token"))
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,12 +104,13 @@ def fuzzy_terms(texts: DataFrame, glossary: DataFrame, least: float = 0.84, most
             words = f.token.tolist()
             bag, lens = S.bags(words)
             for i, token in enumerate(words):
-                near = set(S.may_reach(bag[i], int(lens[i]), *counted, least).tolist())
-                for k, term in enumerate(terms):
-                    if token.startswith(term) or term.startswith(token):
-                        rows.append((token, term, 0.9))
-                    elif k in near and (r := S.ratio(term, token)) >= least:
-                        rows.append((token, term, r))
+                # Terms that the token begins stand together in their order; those that begin it are looked up.
+                begun = terms[bisect_left(terms, token) : bisect_left(terms, token + "\U0010ffff")]
+                sure = {*begun, *(token[:n] for n in range(1, len(token) + 1) if token[:n] in whole)}
+                rows += [(token, term, 0.9) for term in sorted(sure)]
+                for k in S.may_reach(bag[i], int(lens[i]), *counted, least):
+                    if terms[k] not in sure and (r := S.ratio(terms[k], token)) >= least:
+                        rows.append((token, terms[k], r))
             yield pd.DataFrame(rows, columns=["token", "term", "score"])
 
     scored = tokens.select("token").distinct().mapInPandas(rate, "token string, term string, score double")
@@ -90,48 +125,24 @@ def exact_matches(texts: DataFrame, memory: DataFrame) -> DataFrame:
     An entry of the text's chapter wins, then the smallest entry id. A hash join on the normalised text.
     """
     keyed = texts.select("id", F.col("chapter_id").alias("c"), X.normalize("text").alias("key")).where("key <> ''")
-    entries = memory.where(X.strip("target_text") != "").select(X.normalize("source_text").alias("key"), "entry_id", F.col("target_text").alias("target"), "chapter_id").where("key <> ''")
-    best = F.struct((~F.col("c").eqNullSafe(F.col("chapter_id"))).cast("int").alias("away"), "entry_id", "target")
-    return keyed.join(entries, "key").groupBy("id").agg(F.min(best).alias("m")).select("id", "m.entry_id", "m.target")
+    entries = memory.where(X.strip("target_text") != "").select(X.normalize("source_text").alias("key"), F.col("chapter_id").alias("c"), F.struct("entry_id", F.col("target_text").alias("target")).alias("e")).where("key <> ''")
+    # The best entry of every text and chapter, and of every text: a text meets one row of each, however many copies the memory has.
+    own = entries.groupBy("key", "c").agg(F.min("e").alias("own"))
+    best = own.groupBy("key").agg(F.min("own").alias("any"))
+    near = own.select(F.col("key").alias("k"), F.col("c").alias("o"), "own")
+    found = keyed.join(best, "key").join(near, (F.col("key") == F.col("k")) & F.col("c").eqNullSafe(F.col("o")), "left")
+    return found.select("id", F.coalesce("own", "any").alias("m")).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.entry_id", "m.target")
 
 
-def similar_entries(queries: DataFrame, memory: DataFrame, near: float = 0.93, exact: float = 0.995, k: int = 5, block: int = 2_000, autojunk: bool = True) -> DataFrame:
+def similar_entries(queries: DataFrame, memory: DataFrame, near: float = 0.93, exact: float = 0.995, k: int = 5) -> DataFrame:
     """id, entry_id, similarity, exact, place: the ``k`` best entries of each query.
 
-    ``queries(id, text, chapter_id)`` is a stated set, searched against all of ``memory`` in blocks of
-    ``block`` queries: the memory is read once per block and not shuffled. Lengths and shared
-    characters bound the ratio from above, so only pairs that can reach ``near`` are compared.
+    ``queries(id, text, chapter_id)`` against all of ``memory``: both are met in the tasks, none is read to the driver.
     Ranks add 0.02 for the query's chapter, at most 1; ties go by similarity, then entry id.
+    Empty texts are like nothing.
     """
-    rows = [(r.id, S.normalized(r.text), r.chapter_id) for r in queries.select("id", "text", "chapter_id").toLocalIterator()]
-    entries = memory.select("entry_id", "source_text", "chapter_id")
-    schema = "id string, entry_id string, similarity double, rank double"
-
-    def search(part: list[tuple[str, str, str | None]]):
-        bag, lens = S.bags([t for _, t, _ in part])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                texts = [S.normalized(t) for t in f.source_text]
-                own, own_lens = S.bags(texts)
-                out = []
-                for q, (ident, text, chapter) in enumerate(part):
-                    for i in S.may_reach(bag[q], int(lens[q]), own, own_lens, near):
-                        r = S.ratio(text, texts[i], autojunk)
-                        if r >= near:
-                            out.append((ident, f.entry_id.iloc[i], r, min(1.0, r + 0.02 * (chapter is not None and f.chapter_id.iloc[i] == chapter))))
-                yield pd.DataFrame(out, columns=["id", "entry_id", "similarity", "rank"])
-
-        return run
-
-    found = None
-    for at in range(0, len(rows), block):
-        one = entries.mapInPandas(search(rows[at : at + block]), schema)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = memory.sparkSession.createDataFrame([], schema)
-    w = W.partitionBy("id").orderBy(F.desc("rank"), F.desc("similarity"), "entry_id")
-    return found.distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("id", "entry_id", "similarity", (F.col("similarity") >= exact).alias("exact"), "place")
+    found = near_entries(queries, memory, near, k)
+    return found.select("id", "entry_id", "similarity", (F.col("similarity") >= exact).alias("exact"), "place")
 
 
 def near_pairs(queries: DataFrame, entries: DataFrame, least: float, chunk: int = 512) -> DataFrame:
@@ -205,30 +216,50 @@ def style_rules(texts: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
 def _contained_ids(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """id, entry_id: entries that lie in texts, as ``containment``, for long and many entries.
 
-    Joined on the first 4, 12 or 32 characters, whichever an entry has, without the texts themselves.
+    Joined on the first 1, 2, 3, 4, 12 or 32 characters, the most that an entry has, without the texts themselves.
     """
-    found = texts.join(F.broadcast(entries.where(F.length("s") < 4)), F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
-    for width, below in ((4, 12), (12, 32), (32, None)):
+    found = None
+    for width, below in ((1, 2), (2, 3), (3, 4), (4, 12), (12, 32), (32, None)):
         some = entries.where((F.length("s") >= width) & (F.length("s") < below if below else F.lit(True))).select("entry_id", "s", F.xxhash64(F.left("s", F.lit(width))).alias("_k"))
-        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - width + 1), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(width)))))
-        keyed = texts.where(F.length("t") >= width).select("id", F.explode(pieces).alias("_k")).join(some.select("entry_id", "_k"), "_k").select("id", "entry_id")
-        found = found.union(keyed.join(texts, "id").join(some.select("entry_id", "s"), "entry_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id"))
+        pieces = F.transform(_pieces("t", width), lambda x: F.xxhash64(x))
+        keyed = texts.where(F.length("t") >= width).select("id", F.explode(F.array_distinct(pieces)).alias("_k")).join(some.select("entry_id", "_k"), "_k").select("id", "entry_id")
+        one = keyed.join(texts, "id").join(some.select("entry_id", "s"), "entry_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
+        found = one if found is None else found.union(one)
     return found
 
 
+def contained_terms(texts: DataFrame, memory: DataFrame, most: int | None = 5) -> DataFrame:
+    """id, entry_id, place: approved or locked entries of the text's chapter whose source lies in it, first ``most``.
+
+    A text without a chapter takes the entries of all chapters.
+    """
+    good, base = _decisions(memory), texts.select("id", "chapter_id", X.normalize("text").alias("t"))
+    return _placed(_inside(base, good), most)
+
+
+def _decisions(memory: DataFrame) -> DataFrame:
+    return memory.where(F.lower(X.strip("quality")).isin("approved", "locked")).select("entry_id", "chapter_id", "source_text", X.normalize("source_text").alias("s")).where("s <> ''")
+
+
+def _inside(base: DataFrame, good: DataFrame) -> DataFrame:
+    free = F.coalesce(F.col("chapter_id"), F.lit("")) == ""
+    inside = base.where(~free).join(good.select("entry_id", "chapter_id", "s"), "chapter_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
+    return inside.union(_contained_ids(base.where(free).select("id", "t"), good.select("entry_id", "s")))
+
+
+def _placed(hit: DataFrame, most: int | None) -> DataFrame:
+    placed = hit.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("entry_id")))
+    return (placed if most is None else placed.where(F.col("place") <= most)).select("id", "entry_id", "place")
+
+
 def chapter_terms(texts: DataFrame, memory: DataFrame, most: int = 5, least: float = 0.86) -> DataFrame:
     """id, entry_id, place: approved or locked entries of the text's chapter whose source lies in it or is near it, first ``most``.
 
     A text without a chapter takes the entries of all chapters.
     """
-    good = memory.where(F.lower(X.strip("quality")).isin("approved", "locked")).select("entry_id", "chapter_id", "source_text", X.normalize("source_text").alias("s")).where("s <> ''")
-    base = texts.select("id", "chapter_id", "text", X.normalize("text").alias("t"))
+    good, base = _decisions(memory), texts.select("id", "chapter_id", "text", X.normalize("text").alias("t"))
     free = F.coalesce(F.col("chapter_id"), F.lit("")) == ""
-    inside = base.where(~free).join(good.select("entry_id", "chapter_id", "s"), "chapter_id").where(F.contains(F.col("t"), F.col("s"))).select("id", "entry_id")
-    anywhere = _contained_ids(base.where(free).select("id", "t"), good.select("entry_id", "s"))
     # The key of a chapter is told apart from that of all chapters by its first character.
     keyed = F.concat(F.lit("c"), F.col("chapter_id"))
     near = near_pairs(base.select("id", "text", F.when(free, "*").otherwise(keyed).alias("k")), good.select("entry_id", "source_text", F.explode(F.array(keyed, F.lit("*"))).alias("k")), least)
-    hit = inside.union(anywhere).union(near.select("id", "entry_id")).distinct()
-    w = W.partitionBy("id").orderBy("entry_id")
-    return hit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("id", "entry_id", "place")
+    return _placed(_inside(base, good).union(near.select("id", "entry_id")).distinct(), most)

@@ -47,8 +47,9 @@ def prefilter(texts: DataFrame, memory: DataFrame, margin: float = 0.03) -> Data
         order = F.struct((-M.rank(F.col("similarity"), F.col("chapter_id") == F.col("c"))).alias("r"), (-F.col("similarity")).alias("s"), "entry_id", "target_text", "similarity", "near")
         best = placed.groupBy("id").agg(F.min(order).alias("m")).where(F.col("m.similarity") >= F.col("m.near") + margin - 1e-9)
         joined = joined.join(best.select("id", F.col("m.target_text").alias("like")), "id", "left").withColumn("target", F.coalesce("target", "like")).drop("like")
-    before = W.partitionBy("key").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    joined = joined.withColumn("repeat", F.first("target", ignorenulls=True).over(before))
+    # Of every text only the first row that was reused matters: one narrow row per text, whatever the number of its copies.
+    first = joined.where("target is not null").groupBy("key").agg(F.min(F.struct("ord", "target")).alias("first"))
+    joined = joined.join(first, "key", "left").withColumn("repeat", F.when(F.col("ord") > F.col("first.ord"), F.col("first.target"))).drop("first")
     reason = F.when(F.col("repeat").isNotNull(), "repeated_approved_translation").when(F.col("exact"), "translation_memory_exact").when(F.col("target").isNotNull(), "translation_memory_near").otherwise("requires_model_translation")
     action = F.when(reason == "requires_model_translation", "model").otherwise("reuse")
     done = joined.select("id", action.alias("action"), reason.alias("reason"), F.coalesce("repeat", "target").alias("target"))
@@ -105,3 +106,79 @@ def merged_answers(first: DataFrame, later: DataFrame) -> DataFrame:
     """
     both = first.withColumn("p", F.lit(0)).unionByName(later.withColumn("p", F.lit(1))).where((X.strip("text") != "") & (X.strip("id") != ""))
     return both.groupBy("id").agg(F.max_by("text", F.struct("p", "loaded_at")).alias("text"))
+
+
+def checks(rated: DataFrame, fuzzy: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:
+    """``rated`` with ``run_editorial`` and ``run_qa``: whether a text is worth a second pass.
+
+    ``rated(id, tier, risks)`` as from ``complexity.assess``; ``fuzzy(id)`` are texts near glossary terms,
+    ``decided(id)`` texts with decisions on terms.
+    """
+    rows = rated
+    for name, ids in (("_fuzzy", fuzzy), ("_decided", decided)):
+        rows = rows.withColumn(name, F.lit(False)) if ids is None else rows.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    risky = lambda *names: F.arrays_overlap(F.split("risks", ","), F.array(*[F.lit(n) for n in names]))
+    editorial = (F.col("tier") == "C") | risky("terminology_dense") | F.col("_fuzzy") | F.col("_decided") & (F.col("tier") == "B")
+    qa = (F.col("tier") == "C") | risky("footnote_markers", "terminology_dense", "numeric_or_formula_dense")
+    return rows.withColumns({"run_editorial": editorial, "run_qa": qa}).drop("_fuzzy", "_decided")
+
+
+def plan(filtered: DataFrame, rated: DataFrame, cache: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """id, action, reason, target, tier, weight, run_editorial, run_qa: the plan of all texts.
+
+    ``filtered`` is that of ``prefilter``, ``rated`` has the ``checks``, ``cache(id, output)`` outputs known by
+    fingerprint (``cached``), ``weights(id, weight)`` the size of every text's context. What the prefilter
+    leaves and the cache knows is reused; only the rest goes to the model, with its checks.
+    """
+    known = filtered.select("id", F.lit(None).cast("string").alias("output")).limit(0) if cache is None else cache.select("id", "output")
+    sized = filtered.select("id", F.lit(None).cast("bigint").alias("weight")).limit(0) if weights is None else weights.select("id", F.col("weight").cast("bigint").alias("weight"))
+    rows = filtered.join(rated.select("id", "tier", "run_editorial", "run_qa"), "id").join(known, "id", "left").join(sized, "id", "left")
+    model = F.col("action") == "model"
+    hit = model & (X.strip("output") != "")
+    left = model & ~hit
+    return rows.select(
+        "id", F.when(hit, "reuse").otherwise(F.col("action")).alias("action"), F.when(hit, "job_cache_hit").otherwise(F.col("reason")).alias("reason"), F.when(hit, F.col("output")).otherwise(F.col("target")).alias("target"),
+        "tier", F.when(model, F.col("weight")).alias("weight"), (left & F.col("run_editorial")).alias("run_editorial"), (left & F.col("run_qa")).alias("run_qa"),
+    )
+
+
+def savings(planned: DataFrame, max_retries: int = 2, baseline_jobs: int = 3, baseline_retries: int = 3) -> DataFrame:
+    """One row: counts of a ``plan``, its mean context weight, the retries it avoids and the share of jobs it saves (A10)."""
+    n = lambda test, name: F.count_if(test).alias(name)
+    c = F.col
+    reason = lambda x: c("reason") == x
+    sums = planned.agg(
+        F.count("*").alias("n"), n(c("action") == "model", "n_model"), n(reason("translation_memory_exact") | reason("translation_memory_near"), "n_memory"), n(reason("repeated_approved_translation"), "n_repeated"),
+        n(reason("job_cache_hit"), "n_cached"), n(c("action") == "skip", "n_skipped"), n(c("run_editorial"), "n_editorial"), n(c("run_qa"), "n_qa"), F.coalesce(F.round(F.avg("weight"), 1), F.lit(0.0)).alias("weight"),
+    )
+    base, jobs = c("n") * baseline_jobs, c("n_model") + c("n_editorial") + c("n_qa")
+    saved = F.when(base > 0, F.round(F.greatest(F.lit(0), base - jobs) / base * 100.0, 1)).otherwise(0.0)
+    return sums.withColumns({"retries_avoided": c("n_model") * max(0, baseline_retries - max_retries), "saved_percent": saved})
+
+
+def selected(batched: DataFrame, first: str | None = None, last: str | None = None, only_failed: bool = False, resume: bool = False) -> DataFrame:
+    """Rows of ``batched(book_id, batch_id, status)`` that a run takes (F03): from one batch to another, failed ones or unfinished ones only.
+
+    ``first`` and ``last`` are ids or beginnings of ids; a book that lacks one is an error, as its range has no end.
+    """
+    rows = batched
+    for bound, over in ((first, True), (last, False)):
+        if bound is not None:
+            edge = batched.groupBy(F.col("book_id").alias("_b")).agg(F.min(F.when(F.startswith("batch_id", F.lit(bound)), F.col("batch_id"))).alias("_e"))
+            known = F.coalesce("_e", F.raise_error(F.concat(F.lit(f"no batch {bound} in book "), F.col("book_id"))).cast("string"))
+            rows = rows.join(edge, F.col("book_id").eqNullSafe(F.col("_b"))).where(F.col("batch_id") >= known if over else F.col("batch_id") <= known).drop("_b", "_e")
+    states = ["failed"] if only_failed else ["pending", "failed", "running"] if resume else None
+    return rows if states is None else rows.where(F.col("status").isin(states))
+
+
+def tasks(batched: DataFrame, planned: DataFrame) -> DataFrame:
+    """book_id, batch_id, id, status, error, action: the rows of batches with their plan; one without a plan has failed."""
+    rows = batched.select("book_id", "batch_id", "id").join(planned.select("id", "action"), "id", "left")
+    lost = F.col("action").isNull()
+    return rows.select("book_id", "batch_id", "id", F.when(lost, "failed").otherwise("pending").alias("status"), F.when(lost, F.concat(F.lit("no plan for "), F.col("id"))).alias("error"), "action")
+
+
+def local_targets(filtered: DataFrame, texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """id, target: what is known without a backend (R03): the plan's target, else the cached output, else a skipped text itself, else an empty text."""
+    rows = filtered.select("id", "action", "target").join(texts.select("id", "text"), "id").join(cache.select("id", "output"), "id", "left")
+    return rows.select("id", F.coalesce(F.nullif("target", F.lit("")), F.nullif("output", F.lit("")), F.when(F.col("action") == "skip", X.text("text")), F.lit("")).alias("target"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .memory import containment
+from .memory import containment, exact_terms
 
 SEVERITY = {
     "missing_translation": "high", "empty_translation": "high", "footnote_marker_missing": "high", "footnote_count_mismatch": "medium", "number_missing": "medium",
@@ -95,9 +95,10 @@ def consistency_flags(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     return out.unionByName(row(names_missing(pairs), "name_consistency_warning", "low", F.col("name")))
 
 
-def risk_candidates(pairs: DataFrame, flags: DataFrame, least_chars: int = 1200, least_terms: int = 4) -> DataFrame:
-    """id of translated pairs worth a second look: flagged, two markers, an equation, long, or many hints."""
-    flagged = flags.where(F.col("severity").isin("medium", "high")).select("id").distinct()
-    dense = (F.size(F.array_distinct(X.found("source_text", X.MARKER, 1))) >= 2) | (F.size(X.equations("source_text")) > 0) | (F.length(X.text("source_text")) >= least_chars) | (F.size(X.hints("source_text", 50)) >= least_terms)
+def risk_candidates(pairs: DataFrame, flags: DataFrame, glossary: DataFrame, least_chars: int = 1200, least_terms: int = 4) -> DataFrame:
+    """id of translated pairs worth a second look: flagged, two markers, an equation, long, or many glossary terms."""
     said = pairs.where(X.strip("target_text") != "")
-    return said.join(flagged.withColumn("f", F.lit(True)), "id", "left").where(F.coalesce("f", F.lit(False)) | dense).select("id")
+    flagged = flags.where(F.col("severity").isin("medium", "high")).select("id").distinct()
+    terms = exact_terms(said.select("id", F.col("source_text").alias("text")), glossary).groupBy("id").agg(F.countDistinct("term").alias("n_terms"))
+    dense = (F.size(F.array_distinct(X.found("source_text", X.MARKER, 1))) >= 2) | (F.size(X.equations("source_text")) > 0) | (F.length(X.text("source_text")) >= least_chars) | (F.coalesce("n_terms", F.lit(0)) >= least_terms)
+    return said.join(flagged.withColumn("f", F.lit(True)), "id", "left").join(terms, "id", "left").where(F.coalesce("f", F.lit(False)) | dense).select("id")

@@ -266,8 +266,8 @@ def j11_block_sections(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def j12_image_anchors(s: SparkSession, d: str) -> DataFrame:
-    rows = blocks(s, d).where("style_metadata.image_id is not null")
-    return rows.groupBy("doc_id", F.col("style_metadata.image_id").alias("image_id")).agg(F.min("block_id").alias("anchor"), F.min("page_num").alias("page_num"))
+    images = extracted(s, d).select("doc_id", "page_num", F.col("style_metadata.image_id").alias("image_id")).where("image_id is not null")
+    return structure.image_anchors(images, blocks(s, d))
 
 
 @query
@@ -404,6 +404,11 @@ def j08_chapter_terms(s: SparkSession, d: str) -> DataFrame:
     return memory.chapter_terms(_texts(s, d), tm(s, d))
 
 
+@query
+def j08_contained_terms(s: SparkSession, d: str) -> DataFrame:
+    return memory.contained_terms(_texts(s, d), tm(s, d))
+
+
 @query
 def f05_glossary_lookup(s: SparkSession, d: str) -> DataFrame:
     columns = ["source_term", "target_term", "part_of_speech", "decision", "notes"]
@@ -465,7 +470,7 @@ def r28_names_missing(s: SparkSession, d: str) -> DataFrame:
 @query
 def f04_risk_candidates(s: SparkSession, d: str) -> DataFrame:
     p = pairs(s, d)
-    return quality.risk_candidates(p, quality.pair_flags(p))
+    return quality.risk_candidates(p, quality.pair_flags(p), table(s, d, "glossary"))
 
 
 @query
@@ -492,6 +497,74 @@ def a10_plan_summary(s: SparkSession, d: str) -> DataFrame:
     return planning.plan_summary(_planned(s, d)).withColumn("share", F.round("share", 9))
 
 
+def _exactly_planned(s: SparkSession, d: str) -> DataFrame:
+    """The plan without near entries, which SQL can follow."""
+    return planning.prefilter(jobs(s, d).withColumn("ord", F.col("id")), tm(s, d))
+
+
+@query
+def c04_exact(s: SparkSession, d: str) -> DataFrame:
+    return _exactly_planned(s, d)
+
+
+@query
+def a10_exact_summary(s: SparkSession, d: str) -> DataFrame:
+    return planning.plan_summary(_exactly_planned(s, d)).withColumn("share", F.round("share", 9))
+
+
+def _rated(s: SparkSession, d: str) -> DataFrame:
+    return complexity.assess(jobs(s, d).select("id", F.col("text").alias("source_text")))
+
+
+@query
+def f11_checks(s: SparkSession, d: str) -> DataFrame:
+    return planning.checks(_rated(s, d)).select("id", "run_editorial", "run_qa")
+
+
+def _plan(s: SparkSession, d: str) -> DataFrame:
+    texts = _texts(s, d)
+    rated = planning.checks(_rated(s, d), memory.fuzzy_terms(texts, table(s, d, "glossary")), memory.contained_terms(texts, tm(s, d)))
+    return planning.plan(_exactly_planned(s, d), rated, outputs(s, d).where("status = 'ok'").select("id", F.col("translated_text").alias("output")), x22_context_weight(s, d))
+
+
+@query
+def c06_plan(s: SparkSession, d: str) -> DataFrame:
+    return _plan(s, d)
+
+
+@query
+def a10_savings(s: SparkSession, d: str) -> DataFrame:
+    return planning.savings(_plan(s, d))
+
+
+def _batch_states(s: SparkSession, d: str) -> DataFrame:
+    said = outputs(s, d).select("id", (F.col("status") == "failed").alias("failed"), (X.strip("translated_text") != "").alias("done"))
+    rows = planning.batches(jobs(s, d), 24).join(said, "id", "left")
+    state = F.when(F.bool_and(F.coalesce("done", F.lit(False))), "completed").when(F.bool_or(F.coalesce("failed", F.lit(False))), "failed").otherwise("pending")
+    return rows.groupBy("book_id", "batch_id").agg(state.alias("status"))
+
+
+@query
+def f03_selection(s: SparkSession, d: str) -> DataFrame:
+    return planning.selected(_batch_states(s, d), first="batch-0001", resume=True)
+
+
+@query
+def j17_tasks(s: SparkSession, d: str) -> DataFrame:
+    return planning.tasks(planning.batches(jobs(s, d), 24), _exactly_planned(s, d))
+
+
+@query
+def r03_local_targets(s: SparkSession, d: str) -> DataFrame:
+    cache = outputs(s, d).where("status = 'ok'").select("id", F.col("translated_text").alias("output"))
+    return planning.local_targets(_exactly_planned(s, d), jobs(s, d), cache)
+
+
+@query
+def c03_adapted(s: SparkSession, d: str) -> DataFrame:
+    return chunking.adapted(complexity.assess(_chunks(s, d)), blocks(s, d), least=0.3).withColumns({"source_ids": F.array_join("source_ids", ","), "block_ids": F.array_join("block_ids", ",")})
+
+
 @query
 def f01_fragments(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("block_type").isin("header", "footer"), "auxiliary").otherwise(F.col("block_type"))
@@ -500,7 +573,9 @@ def f01_fragments(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def x21_fingerprints(s: SparkSession, d: str) -> DataFrame:
-    return planning.fingerprints(jobs(s, d)).groupBy("fingerprint").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_prints"))
+    # The smallest id of an equal content names the content, whatever the hash.
+    prints = planning.fingerprints(jobs(s, d))
+    return prints.join(prints.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("n")), "fingerprint").select("id", "first", "n")
 
 
 @query

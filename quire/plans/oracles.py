@@ -166,7 +166,9 @@ prev AS (SELECT rest.doc_id, rest.block_id, max(own.section_no) AS section_no FR
 frst AS (SELECT doc_id, min(section_no) AS section_no FROM own GROUP BY 1),
 f AS (SELECT doc_id, block_id, section_no, false AS inferred FROM own UNION ALL SELECT rest.doc_id, rest.block_id, coalesce(near.section_no, prev.section_no, frst.section_no), true FROM rest LEFT JOIN near USING (doc_id, block_id) LEFT JOIN prev USING (doc_id, block_id) JOIN frst ON frst.doc_id = rest.doc_id)"""
 SQL["j11_block_sections"] = f"WITH {ASSIGNED} SELECT * FROM f"
-SQL["j12_image_anchors"] = f"WITH {B} SELECT doc_id, style_metadata.image_id AS image_id, min(block_id) AS anchor, min(page_num) AS page_num FROM b WHERE style_metadata.image_id IS NOT NULL GROUP BY 1, 2"
+SQL["j12_image_anchors"] = f"""WITH {B}, {B.replace('b AS', 'xb AS', 1).replace('blocks', 'extracted_blocks', 1)}, i AS (SELECT DISTINCT doc_id, page_num, style_metadata.image_id AS image_id FROM xb WHERE style_metadata.image_id IS NOT NULL),
+r AS (SELECT i.*, b.block_id AS anchor, row_number() OVER (PARTITION BY i.doc_id, i.page_num, i.image_id ORDER BY b.style_metadata.image_id IS DISTINCT FROM i.image_id, NOT contains(coalesce(b.text, ''), i.image_id), b.reading_order, b.block_id) AS n
+ FROM i LEFT JOIN b ON b.doc_id = i.doc_id AND b.page_num = i.page_num AND b.block_type = 'image_anchor') SELECT doc_id, page_num, image_id, anchor FROM r WHERE n = 1"""
 SQL["u01_edges"] = f"""WITH {ASSIGNED}, {CAPTIONS}, u AS (SELECT doc_id, 'page_block' AS kind, block_id AS target FROM b UNION ALL SELECT doc_id, 'next_block', n FROM (SELECT doc_id, lead(block_id) OVER ({ORD}) AS n FROM b) WHERE n IS NOT NULL
   UNION ALL SELECT doc_id, 'section_block', block_id FROM f UNION ALL SELECT doc_id, 'image_caption', c FROM m WHERE c IS NOT NULL) SELECT doc_id, kind, count(*) AS n, min(target) AS first FROM u GROUP BY 1, 2"""
 SQL["v01_graph_errors"] = f"""WITH {B} SELECT doc_id, block_id, 'dangling_prev' AS error FROM b WHERE prev_block_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b x WHERE x.doc_id = b.doc_id AND x.block_id = b.prev_block_id)
@@ -234,8 +236,8 @@ SQL["j04_exact_terms"] = f"WITH {J}, {GLOSSARY}, n AS (SELECT id, {norm('text')}
 EXACT = f"""x AS (SELECT id, entry_id, target_text AS target FROM (SELECT id, chapter_id AS c, {norm('text')} AS key FROM j) q JOIN (SELECT *, {norm('source_text')} AS key FROM t WHERE {strip('target_text')} <> '') m USING (key) WHERE key <> ''
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN c IS NOT DISTINCT FROM chapter_id THEN 0 ELSE 1 END, entry_id) = 1)"""
 SQL["j07_exact_matches"] = f"WITH {J}, {T}, {EXACT} SELECT * FROM x"
-SQL["j08_chapter_terms"] = f"""WITH {J}, {T}, n AS (SELECT id, chapter_id, {norm('text')} AS t FROM j), e AS (SELECT entry_id, chapter_id, {norm('source_text')} AS s FROM t WHERE unit = 'heading' AND lower({strip('quality')}) IN ('approved','locked')),
-r AS (SELECT id, entry_id, row_number() OVER (PARTITION BY id ORDER BY entry_id) AS place FROM n JOIN e USING (chapter_id) WHERE s <> '' AND contains(t, s)) SELECT * FROM r WHERE place <= 5"""
+SQL["j08_contained_terms"] = f"""WITH {J}, {T}, n AS (SELECT id, chapter_id, {norm('text')} AS t FROM j), e AS (SELECT entry_id, chapter_id, {norm('source_text')} AS s FROM t WHERE lower({strip('quality')}) IN ('approved','locked')),
+r AS (SELECT id, entry_id, row_number() OVER (PARTITION BY id ORDER BY entry_id) AS place FROM n JOIN e ON (coalesce(n.chapter_id, '') = '' OR n.chapter_id = e.chapter_id) AND s <> '' AND contains(t, s)) SELECT * FROM r WHERE place <= 5"""
 SQL["f05_glossary_lookup"] = "SELECT * FROM glossary WHERE contains(lower(coalesce(source_term,'') || ' ' || coalesce(target_term,'') || ' ' || coalesce(part_of_speech,'') || ' ' || coalesce(decision,'') || ' ' || coalesce(notes,'')), 're') ORDER BY source_term NULLS FIRST, target_term NULLS FIRST, part_of_speech NULLS FIRST, decision NULLS FIRST, notes NULLS FIRST LIMIT 10"
 TK = r"regexp_extract_all(lower({x}), '[A-Za-zА-Яа-яЁё0-9\-]+')"
 SQL["t04_style_rules"] = f"""WITH {J}, u(ord, rule) AS (VALUES (1, 'Keep numbers and the kg unit as in the source'), (2, 'Use the formal system of terms'), (3, 'Names of towns are transliterated'), (4, 'Никогда не меняйте порядок предложений')),
@@ -288,7 +290,7 @@ SQL["r28_names_missing"] = f"WITH {P}, {NAMES} SELECT id, name, count(*) AS n FR
 SQL["c11_consistency"] = f"""WITH {P}, {CONFLICT}, {NAMES}, st AS (SELECT s FROM n WHERE s <> '' AND t <> '' GROUP BY 1 HAVING count(DISTINCT t) > 1), r AS (SELECT id, {RATIO} AS ratio FROM p),
 u AS (SELECT id, 'terminology_conflict' AS type, 'high' AS severity FROM x UNION ALL SELECT id, 'stable_expression_inconsistency', 'medium' FROM n JOIN st USING (s) UNION ALL SELECT id, 'literalness_drift', 'medium' FROM r WHERE ratio < 0.45 OR ratio > 2.2 UNION ALL SELECT id, 'name_consistency_warning', 'low' FROM w)
 SELECT id, type, severity, count(*) AS n FROM u GROUP BY 1, 2, 3"""
-SQL["f04_risk_candidates"] = rf"""WITH {FLAGS}, c AS (SELECT id, len(marks) >= 2 OR len({found('fs', EQUATION)}) > 0 OR length(s) >= 1200 OR len({distinct_folded(hints('fs'))}) >= 4 AS dense FROM f1 WHERE st <> '')
+SQL["f04_risk_candidates"] = rf"""WITH {FLAGS}, {GLOSSARY}, h AS (SELECT id FROM (SELECT id, {norm('s')} AS t FROM f1) z JOIN g ON contains(t, key) GROUP BY 1 HAVING count(DISTINCT key) >= 4), c AS (SELECT id, len(marks) >= 2 OR len({found('fs', EQUATION)}) > 0 OR length(s) >= 1200 OR id IN (SELECT id FROM h) AS dense FROM f1 WHERE st <> '')
 SELECT id FROM c WHERE dense OR id IN (SELECT id FROM f)"""
 
 CAPS = r"regexp_matches({s}, '^\d+(?:[./-]\d+)*$') OR regexp_matches({s}, '^[^\p{{L}}\p{{N}}]+$')"
@@ -298,18 +300,25 @@ y AS (SELECT c.*, x.target FROM c LEFT JOIN x USING (id)), z AS (SELECT *, first
 pl AS (SELECT id, CASE WHEN cheap IS NOT NULL THEN 'skip' WHEN rep IS NOT NULL OR target IS NOT NULL THEN 'reuse' ELSE 'model' END AS action,
  CASE WHEN cheap IS NOT NULL THEN cheap WHEN rep IS NOT NULL THEN 'repeated_approved_translation' WHEN target IS NOT NULL THEN 'translation_memory_exact' ELSE 'requires_model_translation' END AS reason,
  CASE WHEN cheap = 'empty_source' THEN NULL WHEN cheap IS NOT NULL THEN s ELSE coalesce(rep, target) END AS target FROM z)"""
-SQL["c04_prefilter"] = f"WITH {J}, {T}, {PLAN} SELECT * FROM pl"
-SQL["a10_plan_summary"] = f"WITH {J}, {T}, {PLAN} SELECT action, reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM pl), 9) AS share FROM pl GROUP BY 1, 2"
+SQL["c04_exact"] = f"WITH {J}, {T}, {PLAN} SELECT * FROM pl"
+SQL["a10_exact_summary"] = f"WITH {J}, {T}, {PLAN} SELECT action, reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM pl), 9) AS share FROM pl GROUP BY 1, 2"
 LET, UPP = r"len(regexp_extract_all(s, '\p{L}'))", r"len(regexp_extract_all(s, '\p{Lu}'))"
 SQL["f01_fragments"] = f"""WITH {B}, x AS (SELECT doc_id, block_id, {strip('text')} AS s, block_type IN ('header','footer') AS aux FROM b)
 SELECT doc_id, block_id FROM x WHERE s <> '' AND ({CAPS.format(s='s')} OR (aux AND length(s) <= 80 AND ({LET} = 0 OR {UPP}::DOUBLE / {LET} >= 0.65)))"""
-SQL["x21_fingerprints"] = f"WITH {J}, n AS (SELECT template_id, {norm('text')} AS t, src, tgt, count(*) AS n FROM j GROUP BY ALL) SELECT n, count(*) AS n_prints FROM n GROUP BY 1"
+SQL["x21_fingerprints"] = f"WITH {J}, n AS (SELECT id, template_id, {norm('text')} AS t, src, tgt FROM j) SELECT id, min(id) OVER w AS first, count(*) OVER w AS n FROM n WINDOW w AS (PARTITION BY template_id, t, src, tgt)"
+SQL["f11_checks"] = f"""WITH q AS ({SQL['cls04_complexity']}) SELECT id, tier = 'C' OR contains(risks, 'terminology_dense') AS run_editorial,
+tier = 'C' OR contains(risks, 'footnote_markers') OR contains(risks, 'terminology_dense') OR contains(risks, 'numeric_or_formula_dense') AS run_qa FROM q"""
+SQL["r03_local_targets"] = f"""WITH {J}, {T}, {A}, {PLAN} SELECT pl.id, coalesce(nullif(pl.target, ''), nullif(a.translated_text, ''), CASE WHEN action = 'skip' THEN coalesce(j.text, '') END, '') AS target
+FROM pl JOIN j USING (id) LEFT JOIN (SELECT * FROM a WHERE status = 'ok') a USING (id)"""
 SQL["j14_cached"] = f"""WITH {J}, {A}, k AS (SELECT id, template_id, {norm('text')} AS t, src, tgt FROM j), c AS (SELECT DISTINCT k.template_id, t, src, tgt FROM k JOIN a USING (id) WHERE a.status = 'ok' AND a.translated_text IS NOT NULL)
 SELECT false AS blank, count(DISTINCT id) AS n FROM k JOIN c USING (template_id, t, src, tgt)"""
 CH = f"CASE WHEN {strip('chapter_id')} = '' THEN 'range' ELSE {strip('chapter_id')} END"
 BATCH = f"""c AS (SELECT book_id, id, {CH} AS ch FROM j), n AS (SELECT *, (ch IS DISTINCT FROM lag(ch) OVER w)::INT AS new FROM c WINDOW w AS (PARTITION BY book_id ORDER BY id)), r AS (SELECT *, sum(new) OVER (PARTITION BY book_id ORDER BY id) AS run FROM n),
 o AS (SELECT *, ((row_number() OVER (PARTITION BY book_id, run ORDER BY id) - 1) % 24 = 0)::INT AS opens FROM r), z AS (SELECT *, sum(opens) OVER (PARTITION BY book_id ORDER BY id)::INT AS no FROM o),
 bt AS (SELECT book_id, id, format('batch-{{:04d}}-', no) || CASE WHEN {SLUG.format(x='ch')} = '' THEN 'batch' ELSE {SLUG.format(x='ch')} END AS batch_id FROM z)"""
+SQL["j17_tasks"] = f"WITH {J}, {T}, pp AS (SELECT * FROM (WITH {PLAN} SELECT * FROM pl)), {BATCH} SELECT book_id, batch_id, id, CASE WHEN action IS NULL THEN 'failed' ELSE 'pending' END AS status, CASE WHEN action IS NULL THEN 'no plan for ' || id END AS error, action FROM bt LEFT JOIN pp USING (id)"
+SQL["f03_selection"] = f"""WITH {J}, {A}, {BATCH}, st AS (SELECT book_id, batch_id, CASE WHEN bool_and(a.id IS NOT NULL AND {strip('translated_text')} <> '') THEN 'completed' WHEN bool_or(coalesce(status = 'failed', false)) THEN 'failed' ELSE 'pending' END AS status
+ FROM bt LEFT JOIN a USING (id) GROUP BY 1, 2) SELECT * FROM st WHERE status IN ('pending', 'failed')"""
 SQL["w10_batches"] = f"WITH {J}, {BATCH} SELECT * FROM bt"
 SQL["a15_batch_progress"] = f"WITH {J}, {A}, {BATCH}, d AS (SELECT DISTINCT id FROM a WHERE {strip('translated_text')} <> '') SELECT book_id, batch_id, count(*) AS n_chunks, count(d.id) AS n_done, bool_and(d.id IS NOT NULL) AS completed FROM bt LEFT JOIN d USING (id) GROUP BY 1, 2"
 SQL["u06_remaining"] = f"WITH {J}, {A} SELECT id FROM j WHERE id NOT IN (SELECT id FROM a WHERE status = 'ok')"

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,26 +24,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, unless their PYTHONPATH already names it."""
-    home = Path(__file__).resolve().parent
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped or any(p and Path(p).resolve() == home.parent for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
-        return
-    target = Path(tempfile.mkdtemp(prefix="quire-ship-")) / "quire.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(home.rglob("*.py")):
-            out.write(source, source.relative_to(home.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a data directory."""
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,11 +45,13 @@ def spread(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    The folder is shared by all executors, so the data outlive any of them. Only where the
-    session names no folder (tests, local runs) one is made for it.
+    The folder is shared by all executors, so the data outlive any of them. Only where a local
+    session names no folder (tests) one is made for it; a cluster must name one.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quire-{os.getpid()}-"))
     return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,18 @@ def collect(spark: SparkSession, landing: str, schema: T.StructType, table: str,
     """Append every answer with a text that has not been seen to ``table``, then stop.
 
     The checkpoint remembers the files read, so a later run, or one after a failure, takes only new
-    ones; a batch that is written again replaces itself, as it is kept under its own number.
+    ones; a batch that is written again replaces itself, as it is kept under its own number. A job
+    that an earlier batch has an answer of is not taken again.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         good = batch.where(F.length(F.trim("text")) > 0).dropDuplicates(["job_id"])
+        try:
+            seen = spark.read.parquet(table).where(F.col("batch") < number).select("job_id").distinct()
+        except AnalysisException:  # the first batch
+            seen = None
+        if seen is not None:
+            good = good.join(seen, "job_id", "left_anti")
         good.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return answers(spark, landing, schema).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, complexity, memory, planning, quality
@@ -106,7 +107,7 @@ def test_containment_ways_agree(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the arctic heart", "smart parts", "a b", ""])], "id int, t string")
     terms = spark.createDataFrame([("art",), ("heart",), ("smart part",), ("b",), ("none of it",)], "key string")
     small = {(r.id, r.key) for r in memory.containment(texts, "t", terms, "key").collect()}
-    large = {(r.id, r.key) for r in memory.containment(texts, "t", terms, "key", broadcast_rows=2).collect()}
+    large = {(r.id, r.key) for r in memory.containment(texts, "t", terms, "key", matched_terms=2).collect()}
     assert small == large == {(0, "heart"), (1, "art"), (1, "smart part"), (2, "b"), (0, "art")}
 
 
@@ -127,3 +128,49 @@ def test_stable_expressions(spark):
     pairs = spark.createDataFrame([("1", "Alpha  beta", "a"), ("2", "alpha beta", "b"), ("3", "gamma", "c"), ("4", "gamma", "C "), ("5", None, "x")], "id string, source_text string, target_text string")
     assert [(r.source, r.n_targets) for r in quality.stable_expressions(pairs).collect()] == [("alpha beta", 2)]
     assert quality.flag_counts(quality.pair_flags(pairs.where(F.lit(False)))).count() == 0
+
+
+def test_repeated_texts_on_one_key(spark):
+    # A third of all rows and of the memory have one text.
+    rows = [(f"{i:03d}", f"{i:03d}", "same text" if i % 3 == 0 else f"text {i}", "c" if i % 2 else None) for i in range(90)]
+    tm = [(f"e{i:03d}", "Same  text" if i % 3 == 0 else f"other {i}", f"t{i}", [None, "c", "d"][i % 9 // 3]) for i in range(90)]
+    texts = spark.createDataFrame(rows, "id string, ord string, text string, chapter_id string")
+    entries = spark.createDataFrame(tm, "entry_id string, source_text string, target_text string, chapter_id string")
+    got = {r.id: r.entry_id for r in memory.exact_matches(texts, entries).collect()}
+    assert got == {r[0]: "e003" if r[3] else "e000" for r in rows if r[2] == "same text"}
+    plan = {r.id: (r.reason, r.target) for r in planning.prefilter(texts, entries).collect()}
+    assert plan["000"] == ("translation_memory_exact", "t0") and {plan[r[0]] for r in rows[1:] if r[2] == "same text"} == {("repeated_approved_translation", "t0")}
+
+
+def test_plan_and_savings(spark):
+    filtered = spark.createDataFrame([("1", "model", "requires_model_translation", None), ("2", "reuse", "translation_memory_exact", "t"), ("3", "skip", "empty_source", None), ("4", "model", "requires_model_translation", None)], "id string, action string, reason string, target string")
+    rated = planning.checks(spark.createDataFrame([("1", "B", "footnote_markers"), ("2", "C", ""), ("3", "A", ""), ("4", "A", "")], "id string, tier string, risks string"), decided=spark.createDataFrame([("1",), ("1",)], "id string"))
+    cache = spark.createDataFrame([("4", "known"), ("1", " ")], "id string, output string")
+    plan = planning.plan(filtered, rated, cache, spark.createDataFrame([("1", 7), ("4", 8)], "id string, weight int"))
+    got = {r.id: tuple(r)[1:] for r in plan.collect()}
+    assert got["1"] == ("model", "requires_model_translation", None, "B", 7, True, True) and got["4"] == ("reuse", "job_cache_hit", "known", "A", 8, False, False)
+    assert got["2"][-2:] == (False, False) and got["3"][0] == "skip"
+    row = planning.savings(plan).head()
+    assert (row.n, row.n_model, row.n_cached, row.n_memory, row.weight, row.retries_avoided, row.saved_percent) == (4, 1, 1, 1, 7.5, 1, 75.0)
+    assert planning.savings(plan.where(F.lit(False))).head().saved_percent == 0.0
+
+
+def test_selection_and_tasks(spark):
+    rows = [("b", f"batch-000{i}-x", s) for i, s in enumerate(["completed", "failed", "pending", "running", "failed"])]
+    df = spark.createDataFrame(rows, "book_id string, batch_id string, status string")
+    ids = lambda **k: [r.batch_id[9] for r in planning.selected(df, **k).orderBy("batch_id").collect()]
+    assert ids(first="batch-0001", last="batch-0003") == ["1", "2", "3"] and ids(only_failed=True, resume=True) == ["1", "4"] and ids(resume=True) == ["1", "2", "3", "4"]
+    with pytest.raises(Exception, match="no batch"):
+        ids(first="batch-0009")
+    batched = spark.createDataFrame([("b", "x", "1"), ("b", "x", "2")], "book_id string, batch_id string, id string")
+    got = {r.id: (r.status, r.error) for r in planning.tasks(batched, spark.createDataFrame([("1", "model")], "id string, action string")).collect()}
+    assert got == {"1": ("pending", None), "2": ("failed", "no plan for 2")}
+
+
+def test_adapted_chunks_keep_all_blocks(spark):
+    text = "Word [1] 12 + 3 = 15 | x\n- a\n- b\n" * 30
+    blocks = spark.createDataFrame([("d", f"b{i}", text if i < 6 else "short words") for i in range(10)], "doc_id string, block_id string, text string")
+    rows = [("d", 1, "k1", "c", "paragraph_group", [f"b{i}" for i in range(6)], "\n".join([text] * 6), 0.9)] + [("d", i, f"k{i}", "c", "paragraph_group", [f"b{i + 4}"], "short words", 0.1) for i in range(2, 6)]
+    out = chunking.adapted(spark.createDataFrame(rows, "doc_id string, chunk_no int, chunk_id string, chapter_id string, chunk_type string, block_ids array<string>, source_text string, score double"), blocks).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.source_ids) for r in out] == [("k1-s1", ["k1"]), ("k1-s2", ["k1"]), ("k2+k3", ["k2", "k3"]), ("k4+k5", ["k4", "k5"])]
+    assert [b for r in out for b in r.block_ids] == [f"b{i}" for i in range(10)] and out[2].source_text == "short words\nshort words"
