@@ -67,22 +67,39 @@ def _shard(docs: list[int], seqs: list[np.ndarray], places: list[np.ndarray], p:
     return pd.DataFrame({"doc_id": ids[spans.doc.to_numpy(np.int64)], "item_id": spans.item_id.to_numpy(np.int64), "start_word": spans.start_word.to_numpy(np.int32), "end_word": (spans["last"] + p.width).to_numpy(np.int32)})
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = 12, shard_tokens: int = 600_000, sample: int = 16, max_items: int = 200_000) -> DataFrame:
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of about ``block_chars`` characters, one at a time on the driver; each whole in one block."""
+    block, size = [], 0
+    for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator():
+        block.append((r.item_id, r.text))
+        size += len(r.text or "")
+        if size >= block_chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = 12, shard_tokens: int = 600_000, sample: int = 16, block_chars: int = 20_000_000) -> DataFrame:
     """Spans of ``documents(doc_id, text)`` that repeat ``min_words`` or more words of an item in a row.
 
-    ``items(item_id, text)`` is the held-out set; it is read to the driver and sent to the
-    workers, which is refused beyond ``max_items`` rows (search a larger set in blocks).
+    ``items(item_id, text)`` is the held-out set; it is sent to the workers in blocks of about
+    ``block_chars`` characters, and each block searched in all documents, so that a set of any size is
+    searched whole and no block grows with it.
     Words are compared without regard to case, compatibility forms, invisible characters,
     punctuation and white space. Result: doc_id, item_id, start_word, end_word (half open word
     numbers within the document), one row per maximal span of an item.
     Null or empty texts, items under ``min_words`` words and empty tables give no rows; a
     repeated document row gives its spans again; other columns are not read.
     """
-    held = [(r.item_id, r.text) for r in items.select("item_id", "text").where("item_id is not null").limit(max_items + 1).collect()]
-    if len(held) > max_items:
-        raise ValueError(f"more than {max_items} items; search them in blocks")
-    phrases = Phrases(held, min_words)
+    out = None
+    for block in _blocks(items, block_chars):
+        one = _leaked(documents, Phrases(block, min_words), min_words, shard_tokens, sample)
+        out = one if out is None else out.unionByName(one)
+    return documents.sparkSession.createDataFrame([], SPANS) if out is None else out
 
+
+def _leaked(documents: DataFrame, phrases: Phrases, min_words: int, shard_tokens: int, sample: int) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(phrases.windows):
             return

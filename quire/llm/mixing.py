@@ -73,18 +73,20 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
     return Classifier(domains, np.log(docs / docs.sum()), np.log(table / table.sum(1, keepdims=True)))
 
 
-def token_counts(documents: DataFrame, domains: list[str], classifier: Classifier | None, ranks: str = RANKS, batch: int = 256) -> DataFrame:
+def token_counts(documents: DataFrame, domains: list[str], classifier: Classifier | None, ranks: str = RANKS, batch: int = 256, soft: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, member): tokens of the whole text and the membership in every domain.
 
-    A labelled document belongs to its domain; others have the classifier's posteriors.
+    A labelled document belongs to its domain, unless ``soft``; others have the classifier's posteriors.
+    The file of ranks is read where the program is and sent to the executors.
     """
     place = {d: i for i, d in enumerate(domains)}
+    with open(ranks, "rb") as lines:
+        sent = documents.sparkSession.sparkContext.broadcast(lines.read())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         for f in frames:
             texts = [t or "" for t in f.text]
@@ -93,7 +95,7 @@ def token_counts(documents: DataFrame, domains: list[str], classifier: Classifie
                 sizes += map(len, encoder.encode_ordinary_batch(texts[at : at + batch], num_threads=1))
             member = np.zeros((len(f), len(domains)))
             own = [place.get(s, -1) for s in f.source]
-            lost = [i for i, o in enumerate(own) if o < 0]
+            lost = [i for i, o in enumerate(own) if o < 0 or soft]
             member[np.arange(len(f)), own] = 1.0
             if lost:
                 member[lost] = classifier.posteriors([texts[i] for i in lost]) if classifier else 0.0
@@ -203,9 +205,12 @@ def _thresholds(drawn: DataFrame, target: np.ndarray, levels: int = 4, cells: in
     return small, np.where(nearer, low + width, low)
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, rounds: int = 12, ranks: str = RANKS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, rounds: int = 12, ranks: str = RANKS, soft: bool = False) -> DataFrame:
     """doc_id, source, domain, n_tokens, repeats: the selection, documents with no repeat left out.
 
+    ``soft`` takes the classifier's posteriors of every document, labelled or not: its rate then follows
+    what its text is like, and its cap and domain are those of its likeliest domain.
+
     ``documents(doc_id bigint, text, source)``; ``targets(source, weight, max_repeats)`` has one row
     per domain and is read to the driver (refused beyond 10,000 rows). Weights are taken relative
     to their sum; a null or negative weight counts as 0, a null or negative cap as 0. Documents
@@ -216,17 +221,16 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     rows = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).orderBy("source").limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 domains")
-    schema = "doc_id bigint, source string, domain string, n_tokens bigint, repeats int"
     if not rows:
-        return documents.sparkSession.createDataFrame([], schema)
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, source string, domain string, n_tokens bigint, repeats int")
     domains = [r.source for r in rows]
     weights = np.maximum(0.0, np.array([r.weight or 0.0 for r in rows], np.float64))
     weights = weights / weights.sum() if weights.sum() > 0 else weights
     caps = np.maximum(0.0, np.array([r.max_repeats or 0 for r in rows], np.float64))
     docs = documents.where("doc_id is not null")
     unknown = docs.where(F.col("source").isNull() | ~F.col("source").isin(domains))
-    classifier = None if unknown.isEmpty() else fit_classifier(docs, domains)
-    base = cut(token_counts(docs, domains, classifier, ranks).where("n_tokens > 0"))
+    classifier = fit_classifier(docs, domains) if soft or not unknown.isEmpty() else None
+    base = cut(token_counts(docs, domains, classifier, ranks, soft=soft).where("n_tokens > 0"))
     gradients, start, got, target = fit_rates(base, weights, caps, total_tokens, rounds)
     drawn = cut(_repeats(base, gradients, start, caps))
     small, edge = _thresholds(drawn, target)
@@ -234,8 +238,26 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     limit, size = F.array(*[F.lit(float(x)) for x in edge]), F.array(*[F.lit(float(x)) for x in small])
     below = F.when(F.col("n_tokens") > F.get(size, F.col("home")), F.lit(1.0)).otherwise(F.get(limit, F.col("home")))
     repeats = F.col("whole") + F.when(F.col("place") < below, 1).otherwise(0)
-    out = drawn.where("home >= 0").select("doc_id", "source", F.get(names, F.col("home")).alias("domain"), "n_tokens", repeats.cast("int").alias("repeats"))
-    return out.where("repeats > 0")
+    return drawn.where("home >= 0").select("doc_id", "source", F.get(names, F.col("home")).alias("domain"), "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
+
+
+def soft_shares(documents: DataFrame, targets: DataFrame, **options: float) -> DataFrame:
+    """Per domain: source, weight, expected (its share of the tokens by posteriors under a ``soft`` mixture), labelled (by the documents' own sources) and agreement.
+
+    ``agreement`` is the part of the domain's selected tokens whose own source is that domain; documents
+    without a known source count under a null source, with neither weight nor expectation.
+    """
+    chosen = mixture(documents, targets, soft=True, **options)
+    size = F.col("n_tokens") * F.col("repeats")
+    by_domain = chosen.groupBy(F.col("domain").alias("source")).agg(F.sum(size).alias("d"), F.sum(F.when(F.col("source") == F.col("domain"), size).otherwise(0)).alias("same"))
+    by_label = chosen.groupBy("source").agg(F.sum(size).alias("l"))
+    weights = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))
+    known = F.col("source").isin([r.source for r in weights.select("source").limit(10_000).collect()])
+    rows = weights.join(by_domain, "source", "left").join(by_label.where(known), "source", "left").select("source", "weight", "d", "same", "l")
+    rest = by_label.where(~F.coalesce(known, F.lit(False))).agg(F.sum("l").alias("l")).where("l > 0").select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("weight"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("same"), "l")
+    every = rows.unionByName(rest).withColumns({"all_d": F.sum("d").over(W.partitionBy(F.lit(0))), "all_l": F.sum("l").over(W.partitionBy(F.lit(0)))})
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return every.select("source", "weight", (n("d") / F.col("all_d")).alias("expected"), (n("l") / F.col("all_l")).alias("labelled"), F.when(n("d") > 0, n("same") / F.col("d")).alias("agreement"))
 
 
 def mixture_shares(documents: DataFrame, targets: DataFrame, **options: float) -> DataFrame:

@@ -134,13 +134,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-SQL["p1_found"] = r"""
-WITH r AS (SELECT entry_id AS rec, source_text AS text FROM translation_memory UNION SELECT job.job_id, payload.source_text FROM job_inputs),
+@query
+def p9_soft_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.soft_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+_NEAR = r"""
+r AS (SELECT entry_id AS rec, source_text AS text FROM translation_memory UNION SELECT job.job_id, payload.source_text FROM job_inputs),
 w AS (SELECT rec, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM r WHERE text IS NOT NULL),
 b AS (SELECT DISTINCT rec, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rec, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 12)),
 n AS (SELECT rec, count(*) AS n FROM b GROUP BY 1),
-p AS (SELECT x.rec AS rec_a, y.rec AS rec_b, count(*) AS k FROM b x JOIN b y ON x.g = y.g AND x.rec < y.rec GROUP BY 1, 2)
-SELECT rec_a, rec_b FROM p JOIN n a ON a.rec = rec_a JOIN n c ON c.rec = rec_b WHERE 5 * k >= 3 * (a.n + c.n - k)
+p AS (SELECT x.rec AS rec_a, y.rec AS rec_b, count(*) AS k FROM b x JOIN b y ON x.g = y.g AND x.rec < y.rec GROUP BY 1, 2),
+f AS (SELECT rec_a, rec_b FROM p JOIN n a ON a.rec = rec_a JOIN n c ON c.rec = rec_b WHERE 5 * k >= 3 * (a.n + c.n - k))"""
+SQL["p1_found"] = f"WITH {_NEAR} SELECT * FROM f"
+SQL["p1_records"] = f"""
+WITH {_NEAR}, h AS (SELECT rec, md5(string_agg(g, '|' ORDER BY g)) AS h FROM b GROUP BY 1), c AS (SELECT rec, h, min(rec) OVER (PARTITION BY h) AS class, count(*) OVER (PARTITION BY h) - 1 AS n_copies FROM h),
+l AS (SELECT x.rec, count(*) AS n FROM (SELECT rec_a AS rec, rec_b AS other FROM f UNION ALL SELECT rec_b, rec_a FROM f) x JOIN c a ON a.rec = x.rec JOIN c o ON o.rec = x.other WHERE a.h <> o.h GROUP BY 1)
+SELECT c.rec, class, n_copies, coalesce(n, 0) AS n_links FROM c LEFT JOIN l USING (rec)
 """
 
 _WINDOWS = """w AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
@@ -172,6 +182,14 @@ x AS ({_phrases_sql("doc_id", "d")}), y AS ({_phrases_sql("item_id", "e")}) SELE
 """
 
 
+SQL["p8_report"] = f"""
+WITH d AS (SELECT doc_id, {_plain_sql("text")} AS w FROM documents), e AS (SELECT item_id, {_plain_sql("text")} AS w FROM eval_items), y AS ({_phrases_sql("item_id", "e")}),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), m AS (SELECT DISTINCT doc_id, item_id, i FROM x JOIN y USING (g)),
+o AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) > 12, true)::INT AS opens FROM m), r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS run FROM o),
+s AS (SELECT doc_id, item_id, run, max(i) + 12 - min(i) AS n FROM r GROUP BY ALL) SELECT doc_id, count(DISTINCT item_id) AS n_items, count(*) AS n_spans, sum(n)::BIGINT AS n_words FROM s GROUP BY 1
+"""
+
+
 def _look_sql(x: str) -> str:
     """The same look in SQL, as far as single signs go: for comparing with the skeletons."""
     pairs_of = {c: p for p, those in skeleton.LOOKALIKES.items() for c in those} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
