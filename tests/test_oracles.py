@@ -41,4 +41,8 @@ def test_same_rows(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).columns
+    """Queries without SQL are run whole; what they give is tested on planted rows in the other modules."""
+    df = catalog.QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert all(len(r) == len(df.columns) for r in rows)
+    assert rows or name in ("j08_chapter_terms", "c03_adapted")
