@@ -1,6 +1,6 @@
 """Problem 6: defective prompt and response pairs.
 
-Response openings are clustered by verified MinHash. An opening that recurs across unrelated
+Response openings are clustered by the shingles that they share. An opening that recurs across unrelated
 prompts is a template of its own, not a rendering of its prompt: a refusal. Copy, language and
 termination checks label the other defects.
 """
@@ -11,16 +11,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import combinations, islice
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .filters import bitmap, held
-from .minhash import WordHashes, bands, shingles, signatures
+from .minhash import WordHashes, mix, shingles, signatures
 from .text import plain, strip_invisible, visible
 from .truncation import judge, state
 
@@ -251,44 +252,97 @@ def _copies(suspects: DataFrame, jobs: DataFrame, outputs: DataFrame, least: flo
     return prompts.join(responses, "job_id").mapInPandas(run, "job_id string").distinct()
 
 
-def opening_clusters(openings: DataFrame, width: int = 2, rows: int = 2, n_bands: int = 9, similarity: float = 0.5) -> DataFrame:
-    """Clusters of openings: ``openings(opening array<string>)`` distinct, to (opening_hash, cluster).
+def _least_common(m: int, n: int, similarity: float) -> int:
+    """How many elements sets of ``m`` and ``n`` must share to be alike; 0 where they cannot be."""
+    return next((k for k in range(1, min(m, n) + 1) if k >= similarity * (m + n - k)), 0)
+
+
+#: Parts of one set, in one comparison, up to which sets meet by their parts; larger sets meet in pairs.
+_MOST_PARTS = 100
+
+
+def _parts(sizes: list[int], similarity: float, few: np.ndarray | None):
+    """Rows (opening_hash, low, high, key, side), a key for each part of a set that suffices to be alike.
 
-    MinHash over word shingles gives candidates, each verified by the exact Jaccard similarity to a
-    head of its bucket: the smallest hash and, for the members unlike it, the largest hash among these. So a
-    bucket of any size makes one link per member and band. A cluster is a head and what is verified to
-    be like it; an opening is in the clusters of all its heads and in its own. Clusters are not
-    joined through their members: of many texts that would chain unlike ones.
+    Two sets are alike if and only if they share a part of as many elements as their sizes call for.
+    Sides: 0 for sets of one size, else 1 for the smaller and 2 for the larger. ``few`` is the bitmap
+    of what sets below the largest size hold: only parts within it may meet a smaller set's.
     """
-    keyed = openings.withColumn("opening_hash", F.xxhash64("opening"))
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            values, bounds = shingles([list(x) for x in f.opening], width, hashes)
-            full = np.flatnonzero(np.diff(bounds))
-            if not len(full):
-                continue
-            key = bands(signatures(values, np.append(bounds[full], len(values)), rows * n_bands), rows).view(np.int64)
-            yield pd.DataFrame({"opening_hash": f.opening_hash.to_numpy()[full], "grams": [values[bounds[i] : bounds[i + 1]].view(np.int64) for i in full], "keys": list(key)})
-
-    made = cut(keyed.mapInPandas(sets, "opening_hash bigint, grams array<bigint>, keys array<bigint>"))
-    entries = made.select("opening_hash", F.explode("keys").alias("key"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """The pairs (opening_hash, head) with whether they are alike; the sets meet here, once a pair."""
-        of = lambda key, grams: made.select(F.col("opening_hash").alias(key), F.col("grams").alias(grams))
-        once = pairs.select("opening_hash", "head").distinct().join(of("opening_hash", "x"), "opening_hash").join(of("head", "y"), "head")
-        both = F.size(F.array_intersect("x", "y"))
-        return once.select("opening_hash", "head", (both >= similarity * (F.size("x") + F.size("y") - both)).alias("alike"))
-
-    heads = entries.groupBy("key").agg(F.min("opening_hash").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    near = cut(entries.join(heads, "key").where("opening_hash <> head"))
-    first = cut(judged(near))
-    rest = near.join(first.where("not alike"), ["opening_hash", "head"], "left_semi").select("key", "opening_hash")
-    second = judged(rest.join(rest.groupBy("key").agg(F.max("opening_hash").alias("head")), "key").where("opening_hash <> head"))
-    linked = first.union(second).where("alike").select("opening_hash", F.col("head").alias("cluster"))
-    return linked.union(keyed.select("opening_hash", F.col("opening_hash").alias("cluster"))).distinct()
+            n_of = f.grams.map(len).to_numpy()
+            for n in np.unique(n_of):
+                own = f[n_of == n]
+                grams = mix(np.stack(own.grams.to_list()).view(np.uint64))
+                if few is not None:
+                    slots = np.stack(own.slots.to_list()).view(np.uint64) & np.uint64(len(few) * 64 - 1)
+                    may = (few[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+                for other in sizes:
+                    k = _least_common(n, other, similarity)
+                    if not k:
+                        continue
+                    at = np.array([*combinations(range(n), k)])
+                    low, high = min(n, other), max(n, other)
+                    keys = mix(grams[:, at].sum(axis=2, dtype=np.uint64) ^ np.uint64(low << 32 | high)) & ~np.uint64(1)
+                    i, j = np.nonzero(may[:, at].all(axis=2) if other < n else np.ones(keys.shape, bool))
+                    yield pd.DataFrame({c: own[c].to_numpy()[i] for c in ("opening_hash", "low", "high")} | {"key": keys[i, j].view(np.int64), "side": np.int32(0 if other == n else 1 + (other < n))})
+
+    return run
+
+
+def _pairs_alike(made: DataFrame, similarity: float) -> DataFrame:
+    """(opening_hash, cluster): all pairs of sets alike, either way. Sets alike share one of their first elements in any order that all keep."""
+    n = F.size("grams")
+    first = made.select("opening_hash", F.explode(F.slice(F.array_sort("grams"), F.lit(1), n - F.ceil(similarity * n - 1e-9).cast("int") + 1)).alias("gram"))
+    of = lambda x: made.select(F.col("opening_hash").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("grams", "low", "high")))
+    met = first.withColumnRenamed("opening_hash", "a").join(first.withColumnRenamed("opening_hash", "b"), "gram").where("a < b").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    alike = cut(met.where(both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)).where("least(a_low, b_low) < greatest(a_high, b_high)").select("a", "b"))
+    return alike.selectExpr("a as opening_hash", "b as cluster").union(alike.selectExpr("b", "a"))
+
+
+def opening_clusters(openings: DataFrame, width: int = 2, similarity: float = 0.5) -> DataFrame:
+    """Clusters of openings: ``openings(opening array<string>)`` distinct, to (opening_hash, cluster).
+
+    A cluster is an opening, its head, and every opening whose word shingles have at least this Jaccard
+    similarity to the head's, and each opening is a head. Heads that are like the same openings have one
+    cluster, by the smallest hash. Clusters are not joined through their members: of many texts that
+    would chain unlike ones.
+
+    Which openings are alike is exact: two are if they share a part of their shingles that is large
+    enough, so all with one part are alike, and a cluster is the union of its head's parts. So no pairs are made,
+    however many openings are alike, unless openings are so long that they have too many parts.
+
+    With the smallest and largest owner of each opening, ``openings(opening, low, high)``, openings that
+    meet only others of the same single owner are left in clusters of their own; a cluster has the
+    same owners then as it has without.
+    """
+    if "low" not in openings.columns:
+        openings = openings.withColumn("low", F.xxhash64("opening")).withColumn("high", F.col("low"))
+    keyed = openings.select("opening", "low", "high", F.xxhash64("opening").alias("opening_hash"))
+    own = keyed.select("opening_hash", F.col("opening_hash").alias("cluster"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("opening") - width + 1), lambda i: F.xxhash64(F.slice("opening", i, width))))
+    made = cut(keyed.where(F.size("opening") >= width).select("opening_hash", "low", "high", grams.alias("grams")))
+    sizes = sorted(r.n for r in made.select(F.size("grams").alias("n")).distinct().collect())
+    if any(comb(n, _least_common(m, n, similarity)) > _MOST_PARTS for n in sizes for m in sizes):
+        return _pairs_alike(made, similarity).union(own)
+
+    few = bitmap(made.where(F.size("grams") < sizes[-1]).select(F.explode("grams").alias("gram")), "gram") if len(sizes) > 1 else None
+    slots = F.transform("grams", lambda x: F.xxhash64(x))
+    entries = made.withColumn("slots", slots).mapInPandas(_parts(sizes, similarity, few), "opening_hash bigint, low bigint, high bigint, key bigint, side int")
+    here = Window.partitionBy("key")
+    ends = {f"{at}_{c}": f(c).over(here) for c in ("opening_hash", "side") for at, f in (("first", F.min), ("last", F.max))} | {"least": F.min("low").over(here), "most": F.max("high").over(here)}
+    # Parts of one opening or of one owner add nothing to a cluster, nor do those for two sizes that only one of them has.
+    live = entries.withColumns(ends).where("least < most and first_opening_hash < last_opening_hash and (side = 0 or first_side < last_side)")
+    live = cut(live.select("opening_hash", "key", "side"))
+    # A larger set is like the smaller ones with its part, and need not be like the other larger ones: these go by the key's neighbour.
+    heads = live.groupBy("opening_hash").agg(F.array_sort(F.collect_set(F.col("key") + (F.col("side") == 2).cast("int"))).alias("keys"), F.min("side").alias("side"))
+    heads = heads.groupBy("keys", F.when(F.col("side") > 0, F.col("opening_hash")).alias("single")).agg(F.min("opening_hash").alias("cluster"))
+    members = live.select("opening_hash", "key").union(live.where("side = 1").select("opening_hash", F.col("key") + 1))
+    linked = heads.select("cluster", F.explode("keys").alias("key")).join(members, "key").select("opening_hash", "cluster")
+    alone = heads.where("single is not null").select(F.col("cluster").alias("opening_hash"), "cluster")
+    return linked.union(alone).distinct().union(own.join(live.select("opening_hash").distinct(), "opening_hash", "left_anti"))
 
 
 def templates(placed: DataFrame, prompts: DataFrame, least_prompts: int) -> DataFrame:
@@ -302,7 +356,9 @@ def templates(placed: DataFrame, prompts: DataFrame, least_prompts: int) -> Data
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least_prompts)
     members = placed.join(sizes, "cluster")
     usual = prompts.select(F.explode("first").alias("word")).groupBy("word").agg((F.count("*") / F.lit(max(1, prompts.count()))).alias("usual"))
-    words = members.join(prompts.select("job_id", "first"), "job_id").select("cluster", "n", F.explode("first").alias("word")).groupBy("cluster", "n", "word").agg(F.count("*").alias("n_word"))
+    # Prompts that begin with the same words count together.
+    begins = members.join(prompts.select("job_id", "first"), "job_id").groupBy("cluster", "n", "first").agg(F.count("*").alias("k"))
+    words = begins.select("cluster", "n", "k", F.explode("first").alias("word")).groupBy("cluster", "n", "word").agg(F.sum("k").alias("n_word"))
     share = F.col("n_word") / F.col("n")
     begun = words.where(share > 0.5 + 0.5 / F.col("n")).join(usual, "word")
     # A phrase that a large part of all prompts begins with shows in a large cluster by standing in all of it.
@@ -320,7 +376,7 @@ def defective_pairs(jobs: DataFrame, outputs: DataFrame, opening: int = 8, windo
     ``jobs(job.job_id, job.source_language, job.target_language, payload.source_text)`` and
     ``outputs(job_id, translated_text)``. Every run of ``window`` words of a response's opening (its
     first ``opening`` words; all of a shorter one), so that a template with a changing lead recurs, is
-    clustered by verified MinHash; a cluster that answers at least ``least_prompts`` unrelated prompts
+    clustered with all that are like it; a cluster that answers at least ``least_prompts`` unrelated prompts
     is a refusal template. ``sample`` rows of the prompts give the profiles of their languages.
     Jobs without an output give no row; null texts count as empty; sources without words have no
     defect when returned as they are; deliveries count once; other columns are not read.
@@ -341,7 +397,9 @@ def defective_pairs(jobs: DataFrame, outputs: DataFrame, opening: int = 8, windo
     some = own.where(F.size("opening") >= 3)
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("opening") - window)))
     runs = some.select("job_id", "opening", at.alias("at")).select("job_id", F.slice("opening", F.col("at") + 1, window).alias("opening")).withColumn("opening_hash", F.xxhash64("opening"))
-    placed = cut(runs.select("job_id", "opening_hash").join(opening_clusters(runs.select("opening").distinct(), similarity=similarity), "opening_hash").select("job_id", "cluster").distinct())
+    owner = F.xxhash64("job_id")
+    openings = runs.groupBy("opening").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+    placed = cut(runs.select("job_id", "opening_hash").join(opening_clusters(openings, similarity=similarity), "opening_hash").select("job_id", "cluster").distinct())
     refusals = placed.join(templates(placed, prompts, least_prompts), "cluster", "left_semi").select("job_id").distinct().withColumn("refused", F.lit(True))
     ratio = F.log(F.col("t.chars") / F.col("s.chars"))
     usual = own.where("s.finish = 'stop' and t.finish = 'stop' and s.chars >= 60 and t.chars > 0").groupBy("tgt").agg(F.exp(F.avg(ratio) - deviations * F.coalesce(F.stddev(ratio), F.lit(0.1))).alias("low"))

@@ -354,6 +354,54 @@ def test_opening_clusters(spark):
     assert most >= 10 and len({r.opening_hash for r in rows}) == 42
 
 
+@pytest.mark.parametrize(("n", "letters", "similarity"), [(6, "abcd", 0.5), (8, "abcd", 0.6), (6, "abc", 0.34), (14, "abcd", 0.5)])
+def test_opening_clusters_equal_brute_force(spark, n, letters, similarity):
+    rng = random.Random(3)
+    texts = {tuple(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 5, n, n, n]))) for _ in range(300)}
+    df = spark.createDataFrame([(list(t),) for t in texts], "opening array<string>").withColumn("opening_hash", F.xxhash64("opening"))
+    grams = {r.opening_hash: set(zip(r.opening, r.opening[1:])) for r in df.collect()}
+    alike = {a: {b for b in grams if a == b or x & grams[b] and len(x & grams[b]) >= similarity * len(x | grams[b])} for a, x in grams.items()}
+    got = {}
+    for r in pairs.opening_clusters(df.select("opening"), similarity=similarity).collect():
+        got.setdefault(r.cluster, []).append(r.opening_hash)
+    assert all(len(those) == len(set(those)) and set(those) == alike[c] for c, those in got.items())
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in alike.values()}
+
+
+def test_openings_of_one_owner_leave_the_owners_of_clusters(spark):
+    rng = random.Random(4)
+    owners = {}
+    for job in range(200):
+        w = tuple(rng.choice("abcde") for _ in range(rng.choice([3, 5, 8, 8])))
+        for i in range(max(0, len(w) - 6) + 1):
+            owners.setdefault(w[i : i + 6], set()).add(job)
+    df = spark.createDataFrame([(list(t), min(o), max(o)) for t, o in owners.items()], "opening array<string>, low bigint, high bigint")
+    of = {r.opening_hash: owners[tuple(r.opening)] for r in df.select("opening", F.xxhash64("opening").alias("opening_hash")).collect()}
+
+    def met(openings):
+        got = {}
+        for r in pairs.opening_clusters(openings).collect():
+            got.setdefault(r.cluster, set()).update(of[r.opening_hash])
+        return {frozenset(x) for x in got.values()}
+
+    assert met(df) == met(df.select("opening"))
+
+
+def test_templates_whose_ends_change(spark):
+    # Only the middle of three openings is like both others, whichever has the smallest hash.
+    rng = random.Random(6)
+    prompt = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(9))
+    jobs, out = [], []
+    for g in range(12):
+        body = [f"{WORDS[g]}{x}" for x in "abcdef"]
+        for k, said in enumerate((body, [f"{WORDS[g]}y", *body[1:]], [*body[:5], f"{WORDS[g]}z"])):
+            jobs.append(((f"j{g:02d}-{k}", "en", "de"), (f"{prompt()}.",)))
+            out.append((f"j{g:02d}-{k}", " ".join(said) + "."))
+    jobs = spark.createDataFrame(jobs, "job struct<job_id:string,source_language:string,target_language:string>, payload struct<source_text:string>")
+    got = pairs.defective_pairs(jobs, spark.createDataFrame(out, "job_id string, translated_text string")).where("defect = 'refusal'").collect()
+    assert {r.job_id for r in got} == {x[0] for x in out}
+
+
 def test_figures_tell_renderings_from_templates(spark):
     body = "К сожалению, я не могу перевести этот отрывок"
     jobs = spark.createDataFrame([((f"j{i}", "en", "ru"), (f"{WORDS[i]} {WORDS[i + 7]} {WORDS[(i * 5) % 26 - 1]} stands at {i + 100}.",)) for i in range(12)], "job struct<job_id:string,source_language:string,target_language:string>, payload struct<source_text:string>")
