@@ -174,3 +174,22 @@ def test_adapted_chunks_keep_all_blocks(spark):
     out = chunking.adapted(spark.createDataFrame(rows, "doc_id string, chunk_no int, chunk_id string, chapter_id string, chunk_type string, block_ids array<string>, source_text string, score double"), blocks).orderBy("chunk_id").collect()
     assert [(r.chunk_id, r.source_ids) for r in out] == [("k1-s1", ["k1"]), ("k1-s2", ["k1"]), ("k2+k3", ["k2", "k3"]), ("k4+k5", ["k4", "k5"])]
     assert [b for r in out for b in r.block_ids] == [f"b{i}" for i in range(10)] and out[2].source_text == "short words\nshort words"
+
+
+def test_contained_terms_meet_by_anchors(spark):
+    """Entries of every length against brute force, and no join of a chapter's texts with all of its entries."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh éж😀") for _ in range(n)).strip() for n in (1, 9, 60, 300, 300, 700, 700, 1500)]
+    cuts = [(t, i, n) for t in texts for n in (1, 2, 15, 16, 17, 46, 47, 48, 126, 127, 128, 400) if n <= len(t) for i in (0, len(t) - n, rng.randrange(len(t) - n + 1))]
+    said = [*(t[i : i + n] for t, i, n in cuts), *("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 20, 150))]
+    jobs = [(str(i), t, c) for i, (t, c) in enumerate((t, c) for t in texts for c in ("c", "x", None))]
+    tm = [(f"e{i}", s, "cx"[i % 2], "locked") for i, s in enumerate(said)]
+    df = memory.contained_terms(spark.createDataFrame(jobs, "id string, text string, chapter_id string"), spark.createDataFrame(tm, "entry_id string, source_text string, chapter_id string, quality string"), None)
+    plain = lambda t: re.sub(r"\s+", " ", t.strip())
+    want = {(i, e) for i, t, c in jobs for e, s, o, _ in tm if c in (None, o) and plain(s) and plain(s) in plain(t)}
+    assert len(want) > 200 and {(r.id, r.entry_id) for r in df.collect()} == want
+    joins = re.findall(r"Join Inner, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and all(re.search(r"\ba#|i#|e#", j) for j in joins)
