@@ -193,3 +193,18 @@ def test_contained_terms_meet_by_anchors(spark):
     assert len(want) > 200 and {(r.id, r.entry_id) for r in df.collect()} == want
     joins = re.findall(r"Join Inner, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
     assert joins and all(re.search(r"\ba#|i#|e#", j) for j in joins)
+
+
+def test_near_chunks_equal_brute_force():
+    """Long and short right texts of one vocabulary, edited in many places and in blocks; bounds of block numbers lose nothing."""
+    import random
+
+    from quire.functions import similarity as S
+
+    rng = random.Random(11)
+    words = ["red", "mine", "flexible", "compass", "the", "of", "inspector", "counted", "weighs", "kg", "цена", "9", "q"]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 5, 20, 31, 32, 33, 34, 40, 60, 150)]
+    texts = [*base, *("".join("" if rng.random() < p else c + "y" * (rng.random() < p) for c in t) for t in base for p in (0.01, 0.03, 0.06, 0.1))]
+    for least in (0.86, 0.95):
+        got = [(a, b) for a, b, _ in S.Chunk(texts, least).near(texts)]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if S.ratio(a, b) >= least}
